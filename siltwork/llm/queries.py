@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing
+from . import ann, exact_dedup, html_extract, language_id, minhash, mixing, packing, pii, suffix_dedup
 from . import toxicity as tox
 
 
@@ -16,10 +16,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.maximal_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_identifiers(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +48,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -39,12 +59,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity,
-    "op4_exact_dedup": op4_exact_dedup,
-    "op7_packing": op7_packing,
-    "op8_near_dedup": op8_near_dedup,
-    "op9_mixing": op9_mixing,
-    "pipeline": pipeline,
+    f.__name__: f
+    for f in (op1_toxicity, op2_suffix_dedup, op3_pii, op4_exact_dedup, op5_language_id, op6_html_extraction, op7_packing, op8_near_dedup, op9_mixing, op10_ann, pipeline)
 }
 
 SQL = {
