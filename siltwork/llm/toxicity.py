@@ -77,26 +77,30 @@ def fit(texts: list[str], labels: list[int], epochs: int = 300, least_docs: int
     if len(set(y.tolist())) < 2:
         return None
     held = np.arange(len(texts)) % 5 == 4
-    bags = []
-    df: dict[str, int] = {}
+
+    def bag(text: str) -> list[set[str]]:
+        low = text.lower()
+        return [features(set(_WORD.findall(low[i:j]))) for i, j in sentences(low)]
+
+    # Only what occurs in toxic documents is counted, and no bag is kept: the vocabulary of the rest isn't needed.
     pos: dict[str, int] = {}
     for t, label in zip(texts, y):
-        low = t.lower()
-        bag = [features(set(_WORD.findall(low[a:b]))) for a, b in sentences(low)]
-        bags.append(bag)
-        for f in set().union(*bag):
-            df[f] = df.get(f, 0) + 1
-            if label:
+        if label:
+            for f in set().union(*bag(t)):
                 pos[f] = pos.get(f, 0) + 1
+    df = {f: 0 for f, n in pos.items() if n >= least_docs}
+    for t in texts:
+        for f in df.keys() & set().union(*bag(t)):
+            df[f] += 1
     base = y.mean()
     # A feature that is no more usual in toxic documents than elsewhere can't raise a sentence's probability.
-    names = sorted(f for f, n in pos.items() if n >= least_docs and n / df[f] > 2 * base)
+    names = sorted(f for f, n in df.items() if pos[f] / n > 2 * base)
     index = {f: i for i, f in enumerate(names)}
     sent_of, feat_of, doc_of = [], [], []
     s = 0
     plain = np.zeros(len(texts))
-    for d, bag in enumerate(bags):
-        for sent in bag:
+    for d, t in enumerate(texts):
+        for sent in bag(t):
             ids = [index[f] for f in sent if f in index]
             if not ids:
                 plain[d] += 1
