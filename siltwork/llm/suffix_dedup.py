@@ -20,6 +20,9 @@ independent groups of equal prefixes:
 from __future__ import annotations
 
 import math
+from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, gram_hashes, mix, word_hashes
 
-LEAST, GRAM, PER_TASK = 50, 16, 1_000_000
+LEAST, GRAM, PER_TASK, BATCH = 50, 16, 400_000, 200_000
 START, DIVERSE = 0, -1  # what precedes a suffix: nothing, or several words; else the word's hash
 
 
@@ -242,15 +245,15 @@ def _together(a: dict[int, Run] | None, b: dict[int, Run] | None) -> dict[int, R
     return a
 
 
-def intervals(lcp: list[int], before: list[int], docs: list[int], starts: list[int], least: int) -> list[tuple[int, int, int, dict[int, Run] | None]]:
+def intervals(lcp: list[int], before: list[int], docs: list[int], starts: list[int], least: int) -> Iterator[tuple[int, int, int, dict[int, Run] | None]]:
     """(length, first, last, progressions) of the left-diverse intervals of sorted suffixes, by a stack scan.
 
     ``lcp[i]`` is the common prefix of suffixes i-1 and i; below ``least`` it parts groups. ``before`` is the word before each
     suffix, DIVERSE for a suffix that stands for copies with different words before; START differs from everything.
     Occurrences are carried up the tree as progressions by document where that is what they are, so that a word repeated
-    n times costs n steps though it has n intervals with n occurrences; None stands for the slice first..last.
+    n times costs n steps though it has n intervals with n occurrences; None stands for the slice first..last. What is
+    given holds until the next one is asked for.
     """
-    out = []
     stack: list[list] = []  # [length, first, before, progressions]
     for i in range(1, len(before) + 1):
         n = lcp[i] if i < len(before) else 0
@@ -263,7 +266,7 @@ def intervals(lcp: list[int], before: list[int], docs: list[int], starts: list[i
             left = was if was == left and was != START else DIVERSE
             runs = _together(more, runs)
             if left == DIVERSE:
-                out.append((length, first, i - 1, None if runs is None else dict(runs)))
+                yield length, first, i - 1, runs
         if n >= least:
             if stack and stack[-1][0] == n:
                 was = stack[-1][2]
@@ -271,14 +274,41 @@ def intervals(lcp: list[int], before: list[int], docs: list[int], starts: list[i
                 stack[-1][3] = _together(stack[-1][3], runs)
             else:
                 stack.append([n, first, left, runs])
-    return out
+
+
+class _Repeats:
+    """Repeats as flat columns, whose lists are slices: a batch of the result."""
+
+    def __init__(self):
+        self.names, self.lengths, self.counts = array("q"), array("i"), array("q")
+        self.doc_ends, self.docs, self.ends = array("i", [0]), array("q"), array("i", [0])
+        self.ids, self.first, self.steps, self.times = array("q"), array("i"), array("i"), array("i")
+
+    def add(self, name: int, length: int, occurrences: list[tuple[int, int, int, int]]) -> None:
+        self.names.append(name)
+        self.lengths.append(length)
+        ids, first, steps, times = zip(*occurrences)
+        self.counts.append(sum(times))
+        self.docs.extend(dict.fromkeys(ids))
+        self.doc_ends.append(len(self.docs))
+        self.ids.extend(ids)
+        self.first.extend(first)
+        self.steps.extend(steps)
+        self.times.extend(times)
+        self.ends.append(len(self.ids))
+
+    def batch(self) -> pa.RecordBatch:
+        flat = lambda x, kind: pa.array(np.frombuffer(x, kind) if len(x) else np.empty(0, kind))
+        places = pa.StructArray.from_arrays([flat(self.ids, np.int64), flat(self.first, np.int32), flat(self.steps, np.int32), flat(self.times, np.int32)], ["doc_id", "word_start", "step", "times"])
+        lists = pa.ListArray.from_arrays(flat(self.doc_ends, np.int32), flat(self.docs, np.int64)), pa.ListArray.from_arrays(flat(self.ends, np.int32), places)
+        return pa.RecordBatch.from_arrays([flat(self.names, np.int64), flat(self.lengths, np.int32), flat(self.counts, np.int64), *lists], ["repeat_id", "n_words", "n_occurrences", "doc_ids", "occurrences"])
 
 
 def _scan(least: int):
     """The maximal repeats of one part: its regions' words, the offered suffixes, and the copies of each document."""
-    place = pa.struct([("doc_id", pa.int64()), ("word_start", pa.int32()), ("step", pa.int32()), ("times", pa.int32())])
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         ids, starts = table.column("id").to_pylist(), table.column("start").to_pylist()
         totals, befores, copies = table.column("total").to_pylist(), table.column("before").to_pylist(), table.column("copies").to_pylist()
         words = [word_hashes(t)[0] for t in table.column("text").to_pylist()]
@@ -306,15 +336,14 @@ def _scan(least: int):
         rep = np.array(ids, np.int64)[row]
         found = intervals(lcp.tolist(), left.tolist(), rep.tolist(), start_of.tolist(), least)
         # A text that has copies repeats as a whole, unless it is part of a longer list of equal occurrences.
-        whole = np.flatnonzero((start_of == 0) & many[row])
         near = np.maximum(lcp, np.append(lcp[1:], 0))
         total = np.array(totals)
-        for i in whole.tolist():
-            if near[i] < total[row[i]]:
-                found.append((int(total[row[i]]), i, i, {int(rep[i]): (0, 0, 1)}))
+        whole = np.flatnonzero((start_of == 0) & many[row])
+        found = chain(found, ((int(total[row[i]]), i, i, {int(rep[i]): (0, 0, 1)}) for i in whole.tolist() if near[i] < total[row[i]]))
         hashed = [mix(w) for w in words]
-        out: list[list] = [[], [], [], [], []]
         copies_of = dict(zip(ids, copies))
+        h1 = table.column("h1").to_pylist()
+        out = _Repeats()
         for length, a, b, runs in found:
             if runs is None:
                 by_doc: dict[int, list[int]] = {}
@@ -326,13 +355,12 @@ def _scan(least: int):
             occ = sorted((c, *run) for d, run in several for c in copies_of[d])
             r, o = int(row[a]), int(off[a])
             w = hashed[r][o : o + length]
-            if len(w) < length:  # a whole text whose end lies outside of its region is named by its text's hash
-                name = int(table.column("h1")[r].as_py())
-            else:
-                name = int(gram_hashes(w, length)[0].view(np.int64))
-            for c, v in zip(out, (name, length, sum(x[3] for x in occ), sorted({x[0] for x in occ}), [{"doc_id": d, "word_start": x, "step": p, "times": n} for d, x, p, n in occ])):
-                c.append(v)
-        return pa.table({"repeat_id": pa.array(out[0], pa.int64()), "n_words": pa.array(out[1], pa.int32()), "n_occurrences": pa.array(out[2], pa.int64()), "doc_ids": pa.array(out[3], pa.list_(pa.int64())), "occurrences": pa.array(out[4], pa.list_(place))})
+            # A whole text whose end lies outside of its region is named by its text's hash.
+            out.add(h1[r] if len(w) < length else int(gram_hashes(w, length)[0].view(np.int64)), length, occ)
+            if len(out.ids) > BATCH:
+                yield out.batch()
+                out = _Repeats()
+        yield out.batch()
 
     return run
 
