@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,7 +125,11 @@ def find_identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = graph.join(confident.select("pattern", "kind", "conf"), "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("score"))
         both = found.unionByName(known.withColumn("score", F.lit(1.0)))
         scores = cut(both.groupBy("value", "kind").agg(F.max("score").alias("score")), f"pii-scores-{k}")
-    checked = F.udf(lambda kind, value: valid(kind, value), "boolean")
+
+    @F.pandas_udf("boolean")
+    def checked(kind: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([valid(k, v) for k, v in zip(kind, value)])
+
     seed = known.select("value", "kind", F.lit(True).alias("is_seed"))
     best = scores.where(F.col("score") >= least_score).groupBy("value").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind")).alias("b")).select("value", "b.kind", F.round(-F.col("b.s"), 6).alias("score"))
     best = best.join(seed, ["value", "kind"], "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
