@@ -86,17 +86,16 @@ def human_bytes(n: int) -> str:
 
 # Java's word boundary follows Unicode; this one is that of ASCII words, as the formats need it.
 EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
+_OCTET = r"(?:2(?:5[0-5]|[0-4][0-9])|1[0-9]{2}|[1-9]?[0-9])"
+_AN = "0-9A-Za-z"
+_LABEL = f"[{_AN}](?:[-{_AN}]{{0,61}}[{_AN}])?"
 FORMATS = {
     "ip": rf"{EDGE}{_OCTET}(?:\.{_OCTET}){{3}}{EDGE}",
-    "domain": rf"{EDGE}(?:{_LABEL}\.)+[a-zA-Z]{{2,24}}{EDGE}",
-    "email": rf"{EDGE}[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}{EDGE}",
-    "hash_sha256": rf"{EDGE}[a-fA-F0-9]{{64}}{EDGE}",
-    "hash_sha1": rf"{EDGE}[a-fA-F0-9]{{40}}{EDGE}",
-    "hash_md5": rf"{EDGE}[a-fA-F0-9]{{32}}{EDGE}",
+    "domain": rf"{EDGE}(?:{_LABEL}\.)+[A-Za-z]{{2,24}}{EDGE}",
+    "email": rf"{EDGE}[-+%._{_AN}]+@[-.{_AN}]+\.[A-Za-z]{{2,}}{EDGE}",
+    **{f"hash_{name}": rf"{EDGE}[0-9A-Fa-f]{{{n}}}{EDGE}" for name, n in (("sha256", 64), ("sha1", 40), ("md5", 32))},
     "url": rf"{EDGE}https?://[^ \t\n\r\f<>\"']+{EDGE}",
-    "file_path": r"(?:/[a-zA-Z0-9_.-]+){2,}|\\[0-9A-Za-z_\-. \\]+",
+    "file_path": rf"(?:/[-._{_AN}]+){{2,}}|\\[-\\ ._{_AN}]+",
 }
 _COMPILED = {k: re.compile(v) for k, v in FORMATS.items()}
 _FOLDED = {"domain", "email", "hash_sha256", "hash_sha1", "hash_md5"}

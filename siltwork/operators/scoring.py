@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +21,8 @@ def resolve_fields(schema: CorpusSchema, asked: list[str], role: str) -> list[Fi
 
 
 def idf(n: Column, df: Column) -> Column:
-    return F.log((n - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
+    half = F.lit(0.5)
+    return F.log((n - df + half) / (df + half) + F.lit(1.0))
 
 
 def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
@@ -55,15 +55,15 @@ def _count(words: Column, term: str) -> Column:
 def bm25_scan(items: DataFrame, terms: list[str], fields: list[tuple[str, Column, float]], keep: list[str]) -> DataFrame:
     """``keep`` and ``bm25`` of every row, straight from texts: no postings, no shuffle of tokens.
 
-    ``fields`` are (name, text, weight). Each text is tokenised once; counts and lengths are small columns, summed up to one
-    row that comes back by a cross join.
+    ``fields`` are (name, text, weight). Each text is tokenised once: counts and lengths are small columns, which are kept
+    (memory, then disk) as they are read twice, summed up to one row and then scored with it.
     """
     narrow = items.select(*keep, *[tokens(text).alias(f"t{i}") for i, (_, text, _) in enumerate(fields)])
     cols = []
     for i in range(len(fields)):
         toks = F.col(f"t{i}")
         cols += [F.size(F.array_distinct(toks)).alias(f"dl{i}")] + [_count(toks, q).alias(f"tf{i}_{j}") for j, q in enumerate(terms)]
-    counted = narrow.select(*keep, *cols)
+    counted = narrow.select(*keep, *cols).persist(StorageLevel.MEMORY_AND_DISK)
     sums = [F.count("*").alias("n")]
     for i in range(len(fields)):
         sums += [F.sum(f"dl{i}").alias(f"sum{i}")] + [F.sum(F.when(F.col(f"tf{i}_{j}") > 0, 1).otherwise(0)).alias(f"df{i}_{j}") for j in range(len(terms))]
@@ -167,7 +167,3 @@ def rerank_signal(name_lower: Column, desc_lower: Column, terms: list[str], has_
     if similarities:
         total = total + F.lit(0.3 / len(similarities)) * _sum([(s + 1) / 2 for s in similarities])
     return total
-
-
-def py_idf(n: int, df: int) -> float:
-    return math.log((n - df + 0.5) / (df + 0.5) + 1)

@@ -40,7 +40,7 @@ def write(path, t):
 @pytest.fixture
 def model(tmp_path):
     write(tmp_path / "m.safetensors", tensors())
-    (tmp_path / "vocab.txt").write_text("[PAD]\n[CLS]\n[SEP]\n[UNK]\na\n##b\n配\n")
+    (tmp_path / "vocab.txt").write_text("\n".join("[PAD] [CLS] [SEP] [UNK] a ##b 配".split()) + "\n")
     return BertEncoder(str(tmp_path / "m.safetensors"), str(tmp_path / "vocab.txt"))
 
 

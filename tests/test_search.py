@@ -43,7 +43,7 @@ def test_golden_scores(indexes, corpus, query, want):
 
 
 def test_custom_schema(spark, tmp_path):
-    ix = build(spark, tmp_path, STOCK, [("sku/123", "sku/123.md", "shop", ["premium", "on sale"], {"sku": "widget-123", "summary": "红色外壳的桌面小部件, 带无线充电功能"})])
+    ix = build(spark, tmp_path, STOCK, [("sku/123", "sku/123.md", "shop", ["premium", "on sale"], dict(summary="红色外壳的桌面小部件, 带无线充电功能", sku="widget-123"))])
     hit = search(ix, SearchOptions("widget-123")).first()
     assert round(hit.score, 6) == 1.380583 and round(hit.bm25, 6) == 2.876821 and hit.id == "sku/123" and hit.source == "shop"
     assert hit.tags == ["premium", "on", "sale"] and hit.fields["labels"] == "premium on sale" and hit.exact and not hit.strict

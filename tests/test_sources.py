@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 import pytest
@@ -15,9 +16,9 @@ schema:
   name: config
   name_field: title
   fields:
-    - {name: title, searchable: true, weight: 5, display: true}
-    - {name: content, type: longtext, searchable: true, display: true, snippet: true}
-    - {name: keys, type: tags, searchable: true, weight: 3, display: true}
+    - {display: true, searchable: true, weight: 5, name: title}
+    - {snippet: true, display: true, searchable: true, type: longtext, name: content}
+    - {weight: 3, display: true, searchable: true, type: tags, name: keys}
 sources:
   - {dir: DIR, include: "**/*.json", format: json, mapping: {title: title, content: body, keys: keys}}
   - {dir: DIR, include: "*.csv", format: csv, mapping: {title: title, content: "1"}}
@@ -34,10 +35,11 @@ def xlsx(rows: str, shared: str = "") -> bytes:
 
 
 def test_formats():
-    m, tags = {"title": "title", "body": "body", "keys": "keys"}, {"keys"}
-    want = [("r", {"title": "T", "body": "B"}, ["a", "b"])]
-    assert READERS["json"](b'{"title":"T","body":"B","keys":["a","b"]}', "r", m, tags) == want
-    assert READERS["yaml"](b"title: T\nbody: B\nkeys: [a, b]", "r", m, tags) == want
+    tags = {"keys"}
+    m = {k: k for k in ("title", "body", "keys")}
+    want = [("r", dict(zip(m, "TB")), list("ab"))]
+    assert READERS["json"](b'{"keys": ["a", "b"], "body": "B", "title": "T"}', "r", m, tags) == want
+    assert READERS["yaml"](b"keys: [a, b]\nbody: B\ntitle: T", "r", m, tags) == want
     assert [x[0] for x in READERS["csv"](b"title,body\nx,y\nz\n", "r", m, tags)] == ["r#1", "r#2"]
     assert READERS["csv"](b"title,body\nz\n", "r", m, tags)[0][1] == {"title": "z", "body": ""}
     assert [x[0] for x in READERS["ndjson"](b'{"title":1}\n\n  \n{"title":2}\n', "r", m, tags)] == ["r#1", "r#2"]
@@ -66,10 +68,10 @@ def test_xlsx():
 def test_config_scan_build_search(spark, tmp_path):
     src, out = tmp_path / "src", tmp_path / "out"
     (src / "deep dir").mkdir(parents=True)
-    (src / "a.json").write_text('{"title":"Log4j 配置","body":"日志配置说明","keys":["log","config"]}')
-    (src / "deep dir" / "b+1.json").write_text('{"title":"Nginx 反向代理","body":"代理与缓存","keys":["web"]}')
+    (src / "a.json").write_text(json.dumps(dict(keys="log config".split(), body="日志配置说明", title="Log4j 配置")))
+    (src / "deep dir" / "b+1.json").write_text(json.dumps(dict(keys=["web"], body="代理与缓存", title="Nginx 反向代理")))
     (src / "broken.json").write_text("{")
-    (src / "items.csv").write_text("title,content\nCSV 条目一,内容一\nCSV 条目二,内容二\n")
+    (src / "items.csv").write_text("title,content\n" + "".join(f"CSV 条目{n},内容{n}\n" for n in "一二"))
     (tmp_path / "c.yaml").write_text(CONFIG.replace("DIR", str(src)))
     svc = Service(spark)
     assert svc.index(str(tmp_path / "c.yaml"), str(out), dry_run=True) == {"items": 4, "skipped": 1} and not out.exists()
