@@ -1,10 +1,11 @@
 """Extraction from web pages by union-free regular expressions, one wrapper per host.
 
-A page is a stream of tags and text slots. Adjacent copies of a block are folded into a repeated group, again and again,
-so that repeats inside repeats are found. A host's pages differ then in few folded streams. Those are aligned one after
-another: equal tokens match; groups match if their bodies can be aligned, which merges them; a block that occurs once
-where another page repeats it becomes the group; what has no counterpart becomes optional. The result has no
-unions: tokens, text slots, (optional)? and (repeated)+ groups only.
+A page is a stream of tags and text slots; tags that are closed hold what is between. Neighbours of one name, and adjacent
+copies of a run of nodes, are folded into a repeated group, again and again, so that repeats inside repeats are found. A
+host's pages differ then in few folded streams. Those are aligned one after another: nodes of one name match and their
+contents are aligned in turn; a run that occurs once where another page repeats it becomes the group; what has no
+counterpart becomes optional. The result has no unions: tags, text slots, (optional)? and (repeated)+ groups only, and
+derives every stream that went into it.
 
 With the wrapper every page of the host is read: its texts go to the wrapper's slots. A slot whose text is the same on all
 pages of the host that have it is part of the template; the others are data.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SALT, LONGEST = 16, 24
+SALT, LONGEST, DEEPEST = 16, 24, 100
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<!\w[^>]*>|<(/?[a-zA-Z][\w:-]*)[^>]*>|([^<]+|<)", re.S | re.I)
 TEXT = "#"
 
@@ -44,128 +45,179 @@ def tokens(page: str) -> list[tuple[str, str]]:
     return out
 
 
-# An expression is a tuple of nodes: a token (str), or (kind, expression) with kind "+" or "?".
-# While a page is folded its texts are kept beside: a leaf is [text, ...], a group the list of its bodies' leaves.
-
-
-def _opens(node) -> bool:
-    return isinstance(node, tuple) or (node != TEXT and not node.startswith("/"))
-
-
-def fold(expr: tuple, leaves: list | None = None) -> tuple[tuple, list]:
-    """Fold adjacent copies of a block into ("+", block), shortest blocks first, until nothing repeats."""
-    nodes = list(expr)
-    kept = list(leaves) if leaves is not None else [[] for _ in nodes]
-    size, folded = 1, False
-    while True:
-        if size > min(LONGEST, len(nodes) // 2):
-            if not folded:
-                return tuple(nodes), kept
-            size, folded = 1, False
-            continue
-        out, vals, i = [], [], 0
-        while i < len(nodes):
-            if nodes[i] == nodes[i + size] if i + size < len(nodes) else False:
-                block = nodes[i : i + size]
-                if _opens(block[0]) and not (size == 1 and isinstance(block[0], tuple)) and nodes[i + size : i + 2 * size] == block:
-                    total = list(kept[i : i + size])
-                    j = i + size
-                    total = [list(x) for x in total]
-                    while nodes[j : j + size] == block:
-                        for x, y in zip(total, kept[j : j + size]):
-                            _extend(x, y)
-                        j += size
-                    out.append(("+", tuple(block)))
-                    vals.append(total)
-                    folded = True
-                    i = j
-                    continue
-            out.append(nodes[i])
-            vals.append(kept[i])
-            i += 1
-        nodes, kept = out, vals
-        nodes, kept = _join_groups(nodes, kept)
-        size += 1
-
-
-def _extend(x: list, y: list) -> None:
-    """Add the leaves of one copy of a node to those of another, of the same form."""
-    if x and isinstance(x[0], list):
-        for a, b in zip(x, y):
-            _extend(a, b)
-    else:
-        x.extend(y)
-
-
-def _join_groups(nodes: list, kept: list) -> tuple[list, list]:
-    """Two equal groups side by side are one."""
-    out, vals = [], []
-    for n, v in zip(nodes, kept):
-        if out and isinstance(n, tuple) and out[-1] == n:
-            _extend(vals[-1], v)
+def tree(toks: list[tuple[str, str]]) -> list[tuple]:
+    """Nodes (label, children or text): a closed tag has its name as label, one that stands alone its name and a slash.
+
+    A tag that is never closed stands alone, and so do those nested deeper than ``DEEPEST``.
+    """
+    root: list = []
+    stack: list[tuple[str, list]] = [("", root)]
+    names: dict[str, int] = {}
+
+    def leave() -> None:
+        # The innermost open tag was never closed: it stands alone, what it held follows it.
+        name, held = stack.pop()
+        names[name] -= 1
+        above = stack[-1][1]
+        above[-1] = (f"{name}/", None)
+        above += held
+
+    for token, text in toks:
+        if token == TEXT:
+            stack[-1][1].append((TEXT, text))
+        elif not token.startswith("/"):
+            if len(stack) > DEEPEST:
+                stack[-1][1].append((f"{token}/", None))
+                continue
+            held: list = []
+            stack[-1][1].append((token, held))
+            stack.append((token, held))
+            names[token] = names.get(token, 0) + 1
+        elif names.get(token[1:]):
+            while stack[-1][0] != token[1:]:
+                leave()
+            stack.pop()
+            names[token[1:]] -= 1
+        else:
+            stack[-1][1].append((f"{token}/", None))
+    while len(stack) > 1:  # where the page ends, html and body end as well
+        if stack[-1][0] in ("html", "body"):
+            stack.pop()
+        else:
+            leave()
+    return root
+
+
+# An expression is a tuple of nodes (label, body, repeated, optional). Labels of groups are the tuples of their nodes'.
+
+
+@lru_cache(200_000)
+def fold(labels: tuple, groups: tuple = ()) -> tuple:
+    """(label, members) of a run of labels: neighbours alike are one node, adjacent copies of a run one group.
+
+    Members are places in the run; those of a group are its copies, each a run of nodes. ``groups`` are the labels of groups
+    that are made also of a single copy.
+    """
+    items: list = []
+    for i, x in enumerate(labels):
+        if items and items[-1][0] == x:
+            items[-1][1].append(i)
         else:
-            out.append(n)
-            vals.append(v)
-    return out, vals
-
-
-def regroup(expr: tuple, leaves: list, bodies: tuple) -> tuple[tuple, list]:
-    """Turn single occurrences of the bodies that other pages repeat into groups, longest body first."""
-    nodes, kept = list(expr), list(leaves)
-    for body in bodies:
-        n, out, vals, i = len(body), [], [], 0
-        while i < len(nodes):
-            if nodes[i] == body[0] and tuple(nodes[i : i + n]) == body:
-                out.append(("+", body))
-                vals.append([list(x) for x in kept[i : i + n]])
+            items.append((x, [i]))
+    size = 2
+    while size <= min(LONGEST, len(items) // 2):
+        out, i, found = [], 0, False
+        while i < len(items):
+            name = tuple(x for x, _ in items[i : i + size])
+            j = i + size
+            if len(name) == size and tuple(x for x, _ in items[j : j + size]) == name:
+                copies = [items[i:j]]
+                while tuple(x for x, _ in items[j : j + size]) == name:
+                    copies.append(items[j : j + size])
+                    j += size
+                out.append((name, copies))
+                i, found = j, True
+            else:
+                out.append(items[i])
+                i += 1
+        items = _joined(out)
+        size = 2 if found else size + 1
+    for name in groups:
+        out, i, n = [], 0, len(name)
+        while i < len(items):
+            if tuple(x for x, _ in items[i : i + n]) == name:
+                out.append((name, [items[i : i + n]]))
                 i += n
             else:
-                out.append(nodes[i])
-                vals.append(kept[i])
+                out.append(items[i])
                 i += 1
-        nodes, kept = _join_groups(out, vals)
-    return tuple(nodes), kept
+        items = _joined(out)
+    return tuple(items)
 
 
-def bodies_of(expr: tuple) -> set[tuple]:
-    out = set()
-    for n in expr:
-        if isinstance(n, tuple):
-            out |= bodies_of(n[1]) | ({n[1]} if n[0] == "+" else set())
+def _joined(items: list) -> list:
+    out: list = []
+    for x, members in items:
+        if out and out[-1][0] == x:
+            out[-1] = (x, out[-1][1] + members)
+        else:
+            out.append((x, members))
     return out
 
 
-@lru_cache(200_000)
-def _same(a, b) -> bool:
-    """Whether two nodes can be one: equal tokens, or groups whose bodies open alike."""
-    if isinstance(a, str) or isinstance(b, str):
-        return a == b
-    return _head(a) == _head(b)
+def expression(nodes: list[tuple], groups: tuple = ()) -> tuple:
+    """The folded expression of a page's nodes."""
+    return tuple(_node(x, members, nodes, groups) for x, members in fold(tuple(n[0] for n in nodes), groups))
+
+
+def _node(label, members, nodes, groups) -> tuple:
+    if isinstance(label, tuple):
+        copies = [tuple(_node(x, m, nodes, groups) for x, m in copy) for copy in members]
+        body = copies[0]
+        for c in copies[1:]:
+            body = tuple(map(_merged, body, c))
+        return (label, body, True, False)
+    if label == TEXT or label.endswith("/"):
+        return (label, (), len(members) > 1, False)
+    body: tuple | None = None
+    for e in dict.fromkeys(expression(nodes[i][1], groups) for i in members):
+        body = e if body is None else merge(body, e)
+    return (label, body, len(members) > 1, False)
+
+
+def regroup(expr: tuple, groups: tuple) -> tuple:
+    """An expression folded again with groups that others have."""
+    out = []
+    for label, members in fold(tuple(n[0] for n in expr), groups):
+        out.append(_again(label, members, expr, groups))
+    return tuple(out)
+
 
+def _again(label, members, expr, groups) -> tuple:
+    """One node of the members: places of nodes, or copies of a run that has become a group."""
+    nodes = []
+    for m in members:
+        if isinstance(m, list):
+            body = tuple(_again(x, inner, expr, groups) for x, inner in m)
+            nodes.append((label, body, True, all(n[3] for n in body)))
+        else:
+            nodes.append(_inside(expr[m], groups))
+    got = nodes[0]
+    for n in nodes[1:]:
+        got = _merged(got, n)
+    return (got[0], got[1], got[2] or len(nodes) > 1, all(n[3] for n in nodes))
+
+
+def _inside(n: tuple, groups: tuple) -> tuple:
+    """A node with what it holds regrouped; a group keeps its run of nodes."""
+    body = tuple(_inside(x, groups) for x in n[1]) if isinstance(n[0], tuple) else regroup(n[1], groups)
+    return (n[0], body, n[2], n[3])
 
-def _head(n):
-    while isinstance(n, tuple):
-        n = n[1][0]
-    return n
+
+def groups_of(expr: tuple) -> set[tuple]:
+    out = set()
+    for label, body, _, _ in expr:
+        out |= groups_of(body) | ({label} if isinstance(label, tuple) else set())
+    return out
 
 
 def align(a: tuple, b: tuple) -> list[tuple[int, int]]:
-    """The longest common subsequence of two expressions' nodes, as places (i, j); optional groups of a may match tokens of b."""
+    """The longest common subsequence of two runs of labels, as places (i, j)."""
     lo = 0
-    while lo < len(a) and lo < len(b) and _same(a[lo], b[lo]):
+    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
         lo += 1
     hi = 0
-    while hi < len(a) - lo and hi < len(b) - lo and _same(a[-1 - hi], b[-1 - hi]):
+    while hi < len(a) - lo and hi < len(b) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         row, below = best[i], best[i + 1]
         for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if _same(x[i], y[j]) else max(below[j], row[j + 1])
+            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
     pairs, i, j = [(k, k) for k in range(lo)], 0, 0
     while i < len(x) and j < len(y):
-        if _same(x[i], y[j]) and best[i][j] == best[i + 1][j + 1] + 1:
+        if x[i] == y[j]:
             pairs.append((lo + i, lo + j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
@@ -175,117 +227,130 @@ def align(a: tuple, b: tuple) -> list[tuple[int, int]]:
     return pairs + [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
 
 
-def flat(expr: tuple) -> tuple:
-    """An expression with its optional groups' nodes in line: what a page's stream is aligned with."""
-    return tuple(x for n in expr for x in (flat(n[1]) if isinstance(n, tuple) and n[0] == "?" else (n,)))
-
-
-def _spelled(expr: tuple, optional: frozenset = frozenset()) -> list[tuple[object, bool]]:
-    """(node, is optional) in line."""
-    out = []
-    for n in expr:
-        if isinstance(n, tuple) and n[0] == "?":
-            out += [(x, True) for x, _ in _spelled(n[1])]
-        else:
-            out.append((n, False))
-    return out
+def _merged(m: tuple, n: tuple) -> tuple:
+    """Two nodes of one label as one."""
+    if m == n:
+        return m
+    body = tuple(map(_merged, m[1], n[1])) if isinstance(m[0], tuple) else merge(m[1], n[1])
+    return (m[0], body, m[2] or n[2], m[3] or n[3])
 
 
+@lru_cache(50_000)
 def merge(a: tuple, b: tuple) -> tuple:
-    """The wrapper of both: what only one has is optional, groups that match are merged."""
+    """The expression of both: nodes that match are merged, what only one has is optional."""
     if a == b:
         return a
-    x, y = _spelled(a), _spelled(b)
-    out: list[tuple[object, bool]] = []
-    i = j = 0
-    for p, q in [*align(tuple(n for n, _ in x), tuple(n for n, _ in y)), (len(x), len(y))]:
-        out += [(n, True) for n, _ in x[i:p]] + [(n, True) for n, _ in y[j:q]]
-        if p < len(x):
-            (m, o1), (n, o2) = x[p], y[q]
-            out.append((m if m == n else ("+", merge(m[1], n[1])), o1 or o2))
+    out, i, j = [], 0, 0
+    for p, q in [*align(tuple(n[0] for n in a), tuple(n[0] for n in b)), (len(a), len(b))]:
+        out += [(*n[:3], True) for n in a[i:p]] + [(*n[:3], True) for n in b[j:q]]
+        if p < len(a):
+            out.append(_merged(a[p], b[q]))
         i, j = p + 1, q + 1
-    nodes: list = []
-    run: list = []
-    for n, optional in [*out, (None, False)]:
-        if optional:
-            run.append(n)
-            continue
-        if run:
-            nodes.append(("?", tuple(run)))
-            run = []
-        if n is not None:
-            nodes.append(n)
-    return tuple(nodes)
+    return tuple(out)
 
 
 def show(expr: tuple) -> str:
-    """The expression as text: <tag> names, # slots, (…)+ and (…)?."""
-    return "".join(f"({show(n[1])}){n[0]}" if isinstance(n, tuple) else n if n == TEXT else f"<{n}>" for n in expr)
+    """The expression as text: tags, # for text slots, (…)+ and (…)?."""
+    out = []
+    for label, body, repeated, optional in expr:
+        inner = show(body) if isinstance(label, tuple) else label if label == TEXT else f"<{label}>" if label.endswith("/") else f"<{label}>{show(body)}</{label}>"
+        inner = f"({inner})+" if repeated else inner
+        out.append(f"({inner})?" if optional else inner)
+    return "".join(out)
 
 
 @lru_cache(20_000)
 def parse(text: str) -> tuple:
     """The inverse of :func:`show`."""
     stack: list[list] = [[]]
-    for m in re.finditer(r"<([^>]*)>|(#)|(\()|\)([+?])", text):
-        if m[3]:
+    for m in re.finditer(r"<(/?[^<>/]+/)>|</([^<>/]+)>|<([^<>/]+)>|(#)|(\()|\)([+?])", text):
+        if m[5] or m[3]:
             stack.append([])
-        elif m[4]:
+        elif m[2]:
             body = tuple(stack.pop())
-            stack[-1].append((m[4], body))
+            stack[-1].append((m[2], body, False, False))
+        elif m[6]:
+            body = stack.pop()
+            if m[6] == "?":
+                stack[-1].append((*body[0][:3], True))
+            elif len(body) > 1:
+                stack[-1].append((tuple(n[0] for n in body), tuple(body), True, False))
+            else:
+                stack[-1].append((*body[0][:2], True, body[0][3]))
         else:
-            stack[-1].append(m[1] if m[1] is not None else TEXT)
+            stack[-1].append((m[1] or TEXT, (), False, False))
     return tuple(stack[0])
 
 
-def _ordered(bodies: set[tuple]) -> tuple:
-    return tuple(sorted(bodies, key=lambda b: (-len(b), show(b))))
+def _ordered(groups: set[tuple]) -> tuple:
+    return tuple(sorted(groups, key=lambda g: (-len(g), str(g))))
 
 
 def infer(streams: list[str]) -> str:
     """The wrapper of folded streams (or of wrappers), aligned one after another from the longest."""
     exprs = sorted({parse(s) for s in streams}, key=lambda e: (-len(e), show(e)))
-    bodies = _ordered(set().union(*map(bodies_of, exprs)) if exprs else set())
+    groups = _ordered(set().union(*map(groups_of, exprs)) if exprs else set())
     wrapper: tuple | None = None
-    for e in dict.fromkeys(regroup(e, [[] for _ in e], bodies)[0] for e in exprs):
+    for e in dict.fromkeys(regroup(e, groups) for e in exprs):
         wrapper = e if wrapper is None else merge(wrapper, e)
     return show(wrapper or ())
 
 
-@lru_cache(20_000)
-def _bodies(wrapper: str) -> tuple:
-    return _ordered(bodies_of(parse(wrapper)))
-
-
-@lru_cache(50_000)
-def _places(wrapper: tuple, stream: tuple, path: str) -> tuple:
-    """For each node of a page's stream the wrapper's slot (a path), a group's places, or None where nothing matches."""
-    line = flat(wrapper)
-    pair = {j: i for i, j in align(line, stream)}
-    out = []
-    for j, n in enumerate(stream):
-        i = pair.get(j)
-        here = f"{path}{i}" if i is not None else f"{path}x"
-        out.append(here if n == TEXT else None if isinstance(n, str) else _places(line[i][1] if i is not None else n[1], n[1], here + "."))
-    return tuple(out)
+class Reader:
+    """A wrapper made ready for reading pages; how a run of labels falls on the wrapper's nodes is remembered."""
+
+    def __init__(self, wrapper: str):
+        self.root = parse(wrapper)
+        self.groups = _ordered(groups_of(self.root))
+        self.plans: dict[tuple, list] = {}
+
+    def _plan(self, labels: tuple, body: tuple, path: str) -> list:
+        """For each child its slot's path and its node's body; () where the wrapper has no such node."""
+        key = (path, labels)
+        if key not in self.plans:
+            out: list = [None] * len(labels)
+            self._fall(fold(labels, self.groups), body, path, out)
+            self.plans[key] = out
+        return self.plans[key]
+
+    def _fall(self, items, body: tuple, path: str, out: list) -> None:
+        pair = {j: i for i, j in align(tuple(n[0] for n in body), tuple(x for x, _ in items))}
+        for j, (label, members) in enumerate(items):
+            i = pair.get(j)
+            here, inner = (f"{path}{i}", body[i][1]) if i is not None else (f"{path}x{j}", ())
+            if isinstance(label, tuple):
+                for copy in members:
+                    for k, one in enumerate(copy):
+                        self._fall((one,), inner[k : k + 1], f"{here}.{k}.", out)
+            else:
+                for m in members:
+                    out[m] = (here, inner)
+
+    def slots(self, page: str) -> dict[str, list[str]]:
+        """The texts of each slot; a slot inside repeated groups has several, in order."""
+        out: dict[str, list[str]] = {}
+        work = [(tree(tokens(page)), self.root, "")]
+        while work:
+            nodes, body, path = work.pop()
+            plan = self._plan(tuple(n[0] for n in nodes), body, path)
+            below = []
+            for (label, held), (here, inner) in zip(nodes, plan):
+                if label == TEXT:
+                    out.setdefault(here, []).append(held)
+                elif held:
+                    below.append((held, inner, f"{here}."))
+            work += reversed(below)
+        return out
+
+
+@lru_cache(256)
+def reader(wrapper: str) -> Reader:
+    return Reader(wrapper)
 
 
 def extract(page: str, wrapper: str) -> list[tuple[str, list[str]]]:
-    """(slot, texts) of a page; a slot inside repeated groups has several texts, in order."""
-    toks = tokens(page)
-    expr, leaves = fold(tuple(t for t, _ in toks), [[x] if t == TEXT else [] for t, x in toks])
-    expr, leaves = regroup(expr, leaves, _bodies(wrapper))
-    out: dict[str, list[str]] = {}
-
-    def collect(places, vals):
-        for p, v in zip(places, vals):
-            if isinstance(p, str):
-                out.setdefault(p, []).extend(v)
-            elif p is not None:
-                collect(p, v)
-
-    collect(_places(parse(wrapper), expr, ""), leaves)
-    return list(out.items())
+    """(slot, texts) of a page."""
+    return list(reader(wrapper).slots(page).items())
 
 
 def host_of(url):
@@ -295,7 +360,7 @@ def host_of(url):
 
 def _streams(batches):
     for batch in batches:
-        got = [show(fold(tuple(t for t, _ in tokens(p)))[0]) for p in batch.column(1).to_pylist()]
+        got = [show(expression(tree(tokens(p)))) for p in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], ["host", "stream"])
 
 
@@ -328,7 +393,12 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host_of(F.col(url_col).cast("string")).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).where("page_id IS NOT NULL")
     wraps = cut(wrappers(pages.where(F.col(id_col).isNotNull()), url_col, html_col), "wrappers")
     read = rows.join(wraps, "host").select("page_id", "host", "html", "wrapper").mapInArrow(_fields, "page_id bigint, host string, fields array<struct<slot:string,texts:array<string>>>")
-    slots = cut(read.select("page_id", "host", F.explode("fields").alias("f")).select("page_id", "host", "f.slot", "f.texts"), "slots")
-    seen = slots.groupBy("host", "slot").agg(F.min(F.xxhash64("texts")).alias("lo"), F.max(F.xxhash64("texts")).alias("hi"), F.count("*").alias("n"))
-    data = seen.where("lo <> hi OR n = 1").select("host", "slot")
-    return slots.join(data, ["host", "slot"], "left_semi").select("page_id", "host", "slot", "texts").distinct()
+    read = cut(read, "slots")
+    if not read.groupBy("page_id", F.xxhash64("fields")).count().where("count > 1").isEmpty():
+        read = cut(read.dropDuplicates(), "slots-once")
+    texts = read.select("host", F.explode("fields").alias("f")).select("host", "f.slot", F.xxhash64("f.texts").alias("h"))
+    seen = texts.groupBy("host", "slot").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n"))
+    # One row for each host goes to its pages: the texts themselves aren't shuffled unless the hosts are too many to broadcast.
+    data = cut(seen.where("lo <> hi OR n = 1").groupBy("host").agg(F.collect_list("slot").alias("data")), "data-slots")
+    kept = read.join(data, "host").select("page_id", "host", F.explode(F.filter("fields", lambda f: F.array_contains("data", f["slot"]))).alias("f"))
+    return kept.select("page_id", "host", "f.slot", "f.texts")
