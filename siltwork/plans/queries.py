@@ -31,8 +31,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table over all cores: a file of one row group is one task otherwise. A table of more than ``SMALL``
+    bytes for each core stays as it is read, so what is shuffled is bounded by the cluster, not by the data."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents")
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", *CORPUS.names()))
     return d.select(F.col("doc_id").alias("idx"), *[F.coalesce(F.col(f.name), F.lit("")).alias(f"f{i}") for i, f in enumerate(CORPUS.fields)])
 
 
@@ -41,7 +52,7 @@ def _fields() -> list:
 
 
 def tokenize_counts(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
@@ -120,10 +131,9 @@ def dense_weighted(spark, sf_dir):
 
 
 def phrase_boost(spark, sf_dir):
-    items = _items(spark, sf_dir)
-    scored = S.bm25_scan(items, TERMS, _fields(), ["idx", "f0", "f1", "f2"])
-    boost = S.phrase_boost(TERMS, [F.col(f"f{i}") for i in range(3)])
-    return scored.where("bm25 > 0").select(F.col("idx").alias("doc_id"), F.round(boost, 6).alias("boost"))
+    items = _items(spark, sf_dir).withColumn("boost", S.phrase_boost(TERMS, [F.col(f"f{i}") for i in range(3)]))
+    scored = S.bm25_scan(items, TERMS, _fields(), ["idx", "boost"])
+    return scored.where("bm25 > 0").select(F.col("idx").alias("doc_id"), F.round("boost", 6).alias("boost"))
 
 
 def name_match(spark, sf_dir):
@@ -141,7 +151,7 @@ def exact_prefix(spark, sf_dir):
 def strict_extract(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
     p = _table(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.col("url").alias("text"))
-    both = d.unionByName(p)
+    both = spread(d).unionByName(p)
     return both.select("origin", "id", *[F.array_join(F.array_distinct(T.strict_matches(F.col("text"), k)), " ").alias(k) for k in T.FORMATS])
 
 
@@ -157,12 +167,14 @@ def minmax_normalize(spark, sf_dir):
 
 
 def _signals(spark, sf_dir):
-    scored = S.bm25_scan(_items(spark, sf_dir), TERMS, _fields(), ["idx", "f0", "f1", "f2"])
+    """All that is asked of the texts in one pass; what is kept for the aggregate and the scores is numbers."""
     phrase = S.phrase_boost(TERMS, [F.col(f"f{i}") for i in range(3)])
     boost, types = S.strict_boost(QUERY, [(F.col(c) if c != "path" else F.lit(""), w) for c, w in S.strict_fields(CORPUS)])
     lower = F.lower("f0")
-    out = scored.withColumn("emb", F.lit(0.0)).withColumn("phrase", F.when(F.col("bm25") > 0, phrase).otherwise(0.0)).withColumn("name", S.name_match(lower, QUERY, TERMS))
-    return out.withColumn("strict", boost).withColumn("strict_types", types).withColumn("prefix", S.prefix_match(lower, QUERY)).withColumn("exact", F.lit(False))
+    rows = _items(spark, sf_dir).withColumn("raw_phrase", phrase).withColumn("name", S.name_match(lower, QUERY, TERMS)).withColumn("strict", boost).withColumn("strict_types", types)
+    rows = rows.withColumn("prefix", S.prefix_match(lower, QUERY)).withColumn("signal", S.rerank_signal(lower, F.lower("f2"), TERMS, F.size("strict_types") > 0, []))
+    scored = S.bm25_scan(rows, TERMS, _fields(), ["idx", "raw_phrase", "name", "strict", "prefix", "signal"])
+    return scored.withColumn("phrase", F.when(F.col("bm25") > 0, F.col("raw_phrase")).otherwise(0.0)).withColumn("emb", F.lit(0.0)).withColumn("exact", F.lit(False))
 
 
 def _best(spark, sf_dir):
@@ -176,17 +188,13 @@ def hybrid_stage1(spark, sf_dir):
     return _best(spark, sf_dir).select(F.col("idx").alias("doc_id"), F.round("stage1", 6).alias("stage1"))
 
 
-def _signal(best):
-    return best.withColumn("signal", S.rerank_signal(F.lower("f0"), F.lower("f2"), TERMS, F.size("strict_types") > 0, []))
-
-
 def rerank_signal(spark, sf_dir):
-    return _signal(_best(spark, sf_dir)).select(F.col("idx").alias("doc_id"), F.round("signal", 6).alias("signal"))
+    return _best(spark, sf_dir).select(F.col("idx").alias("doc_id"), F.round("signal", 6).alias("signal"))
 
 
 def search_topk(spark, sf_dir):
     """The whole search: signals, normalisation, fusion, the first stage's top, reranking, the top."""
-    rows = _signal(_best(spark, sf_dir))
+    rows = _best(spark, sf_dir)
     both = rows.crossJoin(F.broadcast(rows.agg(F.min("signal").alias("lo"), F.max("signal").alias("hi"))))
     score = F.lit(0.8) * F.col("stage1") + F.lit(0.2) * S.normalised(F.col("signal"), F.col("lo"), F.col("hi"))
     return both.withColumn("score", score).orderBy(F.desc("score"), "idx").limit(TOP_K).select(F.col("idx").alias("doc_id"), F.round("score", 6).alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from copy import deepcopy
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,8 +89,10 @@ def search(index: Index, options: SearchOptions) -> DataFrame:
     if not o.query or not terms:
         return index.spark.createDataFrame([], HIT)
     searchable, embeddable = S.resolve_fields(index.schema, o.fields, "searchable"), S.resolve_fields(index.schema, o.fields, "embeddable")
-    best = stage_one(signals(index, o.query, terms, searchable, embeddable), o).persist()
-    index.cached.append(best)
+    # Only numbers are kept for the two uses of the signals; the texts of the few best are read again.
+    rows = signals(index, o.query, terms, searchable, embeddable).select("idx", *SIGNALS, "strict_types", "prefix", "exact").persist(StorageLevel.MEMORY_AND_DISK)
+    best = index.items.join(F.broadcast(stage_one(rows, o)), "idx").persist(StorageLevel.MEMORY_AND_DISK)
+    index.cached += [rows, best]
     ranked = reranked(index, best, o.query, terms, embeddable, o)
     wanted = [f for f in index.schema.snippets() if f.name in o.fields] or index.schema.snippets()
     return hits(index, ranked, o.query, wanted)
