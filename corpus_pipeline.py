@@ -11,11 +11,9 @@ Every stage is written as Parquet and read again before the next one.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from siltwork.llm.common import shared_dir
+from siltwork.llm.common import cut
 from siltwork.llm.exact_dedup import drop_exact_duplicates
 from siltwork.llm.minhash import drop_near_duplicates
 from siltwork.llm.mixing import mix_documents
@@ -59,7 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the result is the last stage's."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/siltwork/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
