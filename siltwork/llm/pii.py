@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 ROUNDS, LEAST_CONFIDENCE, LEAST_SCORE, LEAST_SEEDS = 3, 0.5, 0.5, 2
-# Whole identifiers come before runs of digits, so that two that stand side by side aren't taken for one.
-_CANDIDATE = re.compile(r"[\w.+%'-]+@[\w.-]*\w|\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)|(?<!\w)(?:\d{13,19}|[0-9a-fA-F]{16,})(?!\w)|\+?\(?\d(?:[().\-: ]{0,2}\d)+|(?<!\w)[^\W\d]*\d\w*")
+# Whole identifiers come before runs of digits, and a run of digits ends before a place where a whole one begins, so that two
+# that stand side by side aren't taken for one, whichever comes first. Nor does a run take the first digits of another word.
+_NUMBER = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)|(?<!\w)(?:\d{13,19}|[0-9a-fA-F]{16,})(?!\w)|(?<!\w)[3-6]\d{3}(?:[ -]\d{4}){3}(?!\w)"
+_BEGINS = rf"(?<![\w.+%'-])[\w.+%'-]++@[\w.-]*\w|{_NUMBER}|(?<= )\d+[^\W\d]"
+_CANDIDATE = re.compile(rf"[\w.+%'-]+@[\w.-]*\w|\+\d{{1,3}} \(\d{{3}}\) \d{{3}}-\d{{4}}(?!\d)|{_NUMBER}|\+?\(?(?!(?<!\w)\d+[^\W\d])\d(?:\d|[().\-: ]{{1,2}}(?!{_BEGINS})\d)+|(?<!\w)[^\W\d]*\d\w*")
 _RUN = re.compile(r"[^\W\d_]+")
 _CUE = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|key)\W{1,4}$")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+(?:com|org|net|edu|gov|io)")

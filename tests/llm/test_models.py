@@ -99,6 +99,17 @@ def test_checks_hold(spark):
     assert sorted((x.doc_id, x.kind, x.value) for x in got) == sorted([(i, "card", good) for i in (0, 1, 2, 6, 6)] + [(4, "ip", "10.1.2.3"), (5, "phone", "+1 (212) 555-0101"), (5, "ip", "10.9.8.7"), (7, "email", "a.b@mail.example.com")])
 
 
+def test_identifiers_after_numbers(spark):
+    card, key = "4111111111111111", "0123456789abcdef" * 2
+    texts = ["2024-01-02 12:30:45 10.1.2.3 up", f"order 42 {card}", "1. 10.0.0.5", f"7 {key}", "12 34@mail.example.com", "42 4111 1111 1111 1111 ok", "7 9xK2mPq81LzT", "12ab34cd", "+1 (212) 555-0101", "2024-01-02 12:30", "4567x12"]
+    got = [[c[2] for c in pii.candidates(t)] for t in texts]
+    assert got == [["2024-01-02 12:30:45", "10.1.2.3"], ["42", card], ["1", "10.0.0.5"], ["7", key], ["12", "34@mail.example.com"], ["42", "4111 1111 1111 1111"], ["7", "9xK2mPq81LzT"], ["12ab34cd"], ["+1 (212) 555-0101"], ["2024-01-02 12:30"], ["4567x12"]]
+    found = pii.find_identifiers(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {(0, "ip", "10.1.2.3"), (1, "card", card), (2, "ip", "10.0.0.5"), (4, "email", "34@mail.example.com")} <= {(x.doc_id, x.kind, x.value) for x in found}
+    # A chain of digits takes time in proportion to its length.
+    assert len(pii.candidates("1-2." * 50_000)) == 1
+
+
 def brute_scores(mentions, rounds):
     """The rounds on dictionaries."""
     insts = {}
