@@ -3,11 +3,13 @@
 1. Candidates are the spans of a text that look like an identifier: around an @, or of digits, or mixed with digits.
 2. Seed entities are candidates that a strict recogniser knows (or that the caller lists): e-mail addresses, IPv4
    addresses, telephone numbers, card numbers, secrets behind a cue.
-3. Every candidate is an instance; its lexical patterns are its shape, alone and together with the word before it, the
-   words before it, or the word after it. Seeds induce the patterns they occur in.
+3. Every candidate is an instance; its lexical patterns are its shape, its contexts (the word before it, the words before
+   it, the word after it, the words on both sides), and the shape together with a context. Seeds induce the patterns they
+   occur in. A context without the shape carries a score to identifiers of another form, whose shape the next round uses.
 4. The graph of patterns and instances is scored in rounds: a pattern's confidence in a kind is the summed score of its
    instances over their number (plus one); an instance's score is the noisy-or of its confident patterns.
-5. What confident patterns find is reported, seed or not, unless it fails the kind's own check (Luhn, octets).
+5. What confident patterns find is reported, seed or not, unless it fails the kind's own check (Luhn, octets, an @ in an
+   address, 7 to 15 digits in a telephone number).
 """
 
 from __future__ import annotations
@@ -43,13 +45,17 @@ def luhn(digits: str) -> bool:
 
 
 def valid(kind: str, value: str) -> bool:
-    """A kind's own check: the check digit of a card, the octets of an address."""
+    """A kind's own check: the check digit of a card, the octets or the @ of an address, the digits of a telephone number."""
     if kind == "card":
         digits = re.sub(r"\D", "", value)
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "ip":
         parts = value.split(".")
         return len(parts) == 4 and all(p.isdigit() and int(p) <= 255 for p in parts)
+    if kind == "email":
+        return "@" in value
+    if kind == "phone":
+        return 7 <= sum(c.isdigit() for c in value) <= 15 and not any(c.isalpha() for c in value)
     return True
 
 
@@ -88,7 +94,11 @@ def candidates(text: str) -> list[tuple[int, int, str, str | None, list[str]]]:
         s = shape(value)
         left = re.sub(r"\d", "9", before.lower()).split(" ")
         right = re.sub(r"\d", "9", after.lower()).split(" ")
-        patterns = {s, f"{left[-1] or (left[-2] if len(left) > 1 else '')} <{s}>", f"{' '.join(left[-3:])} <{s}>", f"<{s}> {right[0] or (right[1] if len(right) > 1 else '')}"}
+        near, far = left[-1] or (left[-2] if len(left) > 1 else ""), " ".join(left[-3:])
+        next_ = right[0] or (right[1] if len(right) > 1 else "")
+        patterns = {s, f"{near} <{s}>", f"{far} <{s}>", f"<{s}> {next_}"}
+        # Without the shape; the edge of a text is no context.
+        patterns |= {p for p, words in ((f"{near} <>", near), (f"{far} <>", far.strip()), (f"<> {next_}", next_), (f"{far} <> {' '.join(right[:2])}", near and next_)) if words}
         out.append((a, b, value, seed_kind(value, before), sorted(patterns)))
     return out
 

@@ -110,6 +110,20 @@ def test_identifiers_after_numbers(spark):
     assert len(pii.candidates("1-2." * 50_000)) == 1
 
 
+def test_context_finds_other_forms(spark):
+    r = random.Random(2)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows = [f'{prose(i, 5)} phone: +1 (212) 555-{1000 + i} or' for i in range(8)] + [f'{prose(i, 5)} token = {hexa(40)} , then' for i in range(20, 28)]
+    first = len(rows)
+    rows += [f"{prose(40, 5)} phone: 555-123-4567 or", f"{prose(41, 5)} phone: (212) 555-0101 or", f"{prose(42, 5)} token = zq7{hexa(9)}zk , then", f"{prose(43, 5)} token = {hexa(24)} , then"]
+    rows += [f"{prose(44, 5)} phone: 12 or", f"{prose(45, 5)} total: 555-123-9999 and"]
+    got = pii.find_identifiers(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    found = {(x.doc_id - first, x.kind, x.value) for x in got if not x.is_seed}
+    # By the context alone; 12 is no telephone number. In the last text the shape alone is too little.
+    assert {f[:2] for f in found} == {(0, "phone"), (1, "phone"), (2, "secret"), (3, "secret")} and len(got) == first + 4
+    assert {"555-123-4567", "(212) 555-0101"} <= {f[2] for f in found}
+
+
 def brute_scores(mentions, rounds):
     """The rounds on dictionaries."""
     insts = {}
