@@ -94,7 +94,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 300, least_docs: int
             df[f] += 1
     base = y.mean()
     # A feature that is no more usual in toxic documents than elsewhere can't raise a sentence's probability.
-    names = sorted(f for f, n in df.items() if pos[f] / n > 2 * base)
+    names = sorted(f for f, n in df.items() if pos[f] / n > base)
     index = {f: i for i, f in enumerate(names)}
     sent_of, feat_of, doc_of = [], [], []
     s = 0

@@ -38,6 +38,22 @@ def test_held_out_accuracy_and_sentences():
             assert any(any(w in r[1][a:b] for w in BAD) for a, b, _ in found)
 
 
+@pytest.mark.parametrize("share", [0.5, 0.8])
+def test_many_toxic_labels(share):
+    rows = labelled(2400, 3)
+    bad, good = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+    n = min(int(len(good) * share / (1 - share)), len(bad))
+    rows = bad[:n] + good[: round(n * (1 - share) / share)]
+    random.Random(5).shuffle(rows)
+    cut = 2 * len(rows) // 3
+    m = toxicity.fit([r[1] for r in rows[:cut]], [r[2] for r in rows[:cut]])
+    said = [m.score(r[1]) for r in rows[cut:]]
+    assert np.mean([(q >= m.threshold) == bool(r[2]) for (q, _), r in zip(said, rows[cut:])]) > 0.95
+    for (q, found), r in zip(said, rows[cut:]):
+        if r[2] and q >= m.threshold:
+            assert any(any(w in r[1][a:b] for w in BAD) for a, b, _ in found)
+
+
 def test_noisy_or_by_hand():
     m = toxicity.Model({"bad": 3.0, "^worse": 2.0}, -2.0, 0.5)
     p = lambda z: 1 / (1 + np.exp(-z))
