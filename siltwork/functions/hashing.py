@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -20,10 +22,21 @@ def fnv64(data: bytes) -> int:
 
 def bucket(data: bytes) -> int:
     """FNV-1a, 32 bits, into the embedding's buckets."""
-    h = 0x811C9DC5
+    return _fnv32(data) % BUCKETS
+
+
+def _fnv32(data: bytes, h: int = 0x811C9DC5) -> int:
     for b in data:
         h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-    return h % BUCKETS
+    return h
+
+
+@lru_cache(1 << 16)
+def _word(word: str) -> tuple[bytes, int, int]:
+    """A word's bytes, its bucket, and the hash of it and a blank, from which the hash of a pair goes on."""
+    raw = word.encode()
+    h = _fnv32(raw)
+    return raw, h % BUCKETS, _fnv32(b" ", h)
 
 
 def bucket_column(text: Column) -> Column:
@@ -38,14 +51,15 @@ def hash_embedding(text: str) -> np.ndarray:
     out = np.zeros(BUCKETS)
     low = text.lower()
     raw = low.encode()
-    for i in range(len(raw) - 2):
-        out[bucket(raw[i : i + 3])] += 1
-    words = low.split()
-    for w in words:
-        if len(w.encode()) >= 2:
-            out[bucket(w.encode())] += 2
-    for a, b in zip(words, words[1:]):
-        out[bucket(f"{a} {b}".encode())] += 3
+    if len(raw) > 2:
+        r = np.frombuffer(raw, np.uint8).astype(np.uint32)
+        h = np.full(len(r) - 2, 0x811C9DC5, np.uint32)
+        for k in range(3):
+            h = (h ^ r[k : len(r) - 2 + k]) * np.uint32(0x01000193)
+        out += np.bincount(h % BUCKETS, minlength=BUCKETS)
+    words = [_word(w) for w in low.split()]
+    out += 2.0 * np.bincount([at for w, at, _ in words if len(w) >= 2] or np.empty(0, int), minlength=BUCKETS)
+    out += 3.0 * np.bincount([_fnv32(b[0], a[2]) % BUCKETS for a, b in zip(words, words[1:])] or np.empty(0, int), minlength=BUCKETS)
     norm = np.sqrt((out * out).sum())
     return (out / norm if norm else out).astype(np.float32)
 

@@ -208,7 +208,8 @@ def field_restriction(spark, sf_dir):
 
 
 def hash_embeddings(spark, sf_dir):
-    return _table(spark, sf_dir, "benchmark").select("item_id", hash_embed(F.coalesce(F.col("text"), F.lit(""))).alias("vec"))
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", hash_embed(F.coalesce(F.col("text"), F.lit(""))).alias("vec"))
 
 
 def snippet_hits(spark, sf_dir):

@@ -133,3 +133,19 @@ def test_incremental_embedding(spark, tmp_path):
 def test_model_column(spark, model):
     got = spark.createDataFrame([("a",), ("ab",)], "t string").select(model.column(F.col("t"))).collect()
     assert np.allclose(got[1][0], model.encode("ab"), atol=1e-5)
+
+
+def test_hash_embed_covers_documents(spark, data):
+    """Every document, nulls as the zero vector, against counting piece by piece."""
+    from siltwork.functions.hashing import BUCKETS, bucket
+    from siltwork.plans.queries import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    got = QUERIES["hash_embed"](spark, data).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got[::5]:
+        low, want = texts[r.doc_id].lower(), np.zeros(BUCKETS)
+        raw, words = low.encode(), low.split()
+        for piece, n in [(raw[i : i + 3], 1) for i in range(len(raw) - 2)] + [(w.encode(), 2) for w in words if len(w.encode()) > 1] + [(f"{a} {b}".encode(), 3) for a, b in zip(words, words[1:])]:
+            want[bucket(piece)] += n
+        assert np.array_equal(np.array(r.vec, np.float32), (want / (np.linalg.norm(want) or 1)).astype(np.float32)) or np.allclose(r.vec, want / (np.linalg.norm(want) or 1), atol=1e-7)
