@@ -41,12 +41,15 @@ class Model:
     threshold: float
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's probability and the (start, end, probability) of its sentences that raise it."""
+        """The document's probability and the (start, end, probability) of its sentences that raise it: those at 0.5 or at
+        the threshold, if that is lower; if a toxic document has none, those of the highest probability."""
         total, found = 0.0, []
         low, cache = text.lower(), self.weights
         if len(low) != len(text):  # lower-casing may change the length; then positions are those of single letters
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        n = 0
+        n, least = 0, min(0.5, self.threshold)
+        base = 1 / (1 + np.exp(-self.bias))
+        most, top = 0.0, []
         for m in _SENTENCE.finditer(low):
             words = _WORD.findall(m.group())
             if not words:
@@ -54,15 +57,19 @@ class Model:
             n += 1
             hit = [x for x in map(cache.get, features(set(words))) if x]
             z = self.bias + sum(hit)
+            p = base
             if hit:
                 p = 1 / (1 + np.exp(-max(-50.0, min(50.0, z))))
                 total += np.log1p(-min(p, 1 - 1e-12))
-                if p >= 0.5:
-                    found.append((m.start(), m.end(), float(p)))
                 n -= 1
-        base = 1 / (1 + np.exp(-self.bias))
+            if p >= least:
+                found.append((m.start(), m.end(), float(p)))
+            elif p >= most:
+                top = [*(top if p == most else []), (m.start(), m.end(), float(p))]
+                most = p
         total += n * np.log1p(-min(base, 1 - 1e-12))
-        return float(-np.expm1(total)), found
+        q = float(-np.expm1(total))
+        return q, found or (top if q >= self.threshold else [])
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = 300, least_docs: int = 2, l2: float = 1e-5) -> Model | None:

@@ -63,6 +63,15 @@ def test_noisy_or_by_hand():
     assert m.score("İ bad")[1][0][:2] == (0, 5)
 
 
+def test_toxic_documents_have_offending_sentences():
+    text = "So bad a day. Nothing here. How bad it is. A bad end."
+    q, found = toxicity.Model({"bad": 1.0}, -1.85, 0.5).score(text)  # 0.3 each
+    assert q >= 0.5 and [text[a:b].strip() for a, b, _ in found] == ["So bad a day.", "How bad it is.", "A bad end."]
+    q, found = toxicity.Model({"bad": 1.0}, -1.85, 0.2).score(text)  # a threshold below 0.5
+    assert q >= 0.2 and len(found) == 3
+    assert toxicity.Model({"bad": 1.0}, -1.85, 0.95).score(text)[1] == []
+
+
 def test_toxicity_query(spark):
     rows = labelled(300)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
