@@ -10,6 +10,7 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -122,7 +123,8 @@ for _c in range(256):
     _WORD[_c] = _c >= 128 or chr(_c).isalnum() or _c == 95
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the multiplier, and of its inverse."""
     global _POW, _INV
     if len(_POW) < n:
         size = max(n, 2 * len(_POW), 1 << 16)
@@ -141,15 +143,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of a text, with the words' first and last+1 byte in its lower-cased UTF-8."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
+# Signs outside of ASCII part words as those of ASCII do; scripts that are written without blanks have words of one letter.
+_SIGN = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u203e\u2041-\u206f\u2190-\u2bff\u3000-\u3004\u3008-\u3020\u3030\ufe30-\ufe4f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+_LETTER = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u302f\u3031-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def normal(text: str) -> bytes:
+    """A text's words in lower case, as UTF-8 in which only bytes of words are letters, digits, _ or beyond ASCII."""
+    low = text.lower()
+    if not low.isascii():
+        low = _LETTER.sub(r" \g<0> ", _SIGN.sub(" ", low))
+    return low.encode("utf-8", "replace")
+
+
+def word_hashes(text: str | bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text (or of its :func:`normal` form), with their first and last+1 byte in that form."""
+    raw = np.frombuffer(normal(text) if isinstance(text, str) else text, np.uint8)
     n = len(raw)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     edge = np.flatnonzero(np.diff(_WORD[raw].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     starts, ends = edge[::2], edge[1::2]
-    up, down = _powers(n + 1)
+    up, down = powers(n + 1)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_TABLE[raw] * up[:n], out=sums[1:])
@@ -160,7 +175,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` words; none if there are fewer."""
     if len(words) < n:
         return np.empty(0, np.uint64)
-    up, down = _powers(len(words) + 1)
+    up, down = powers(len(words) + 1)
     sums = np.empty(len(words) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(words * up[: len(words)], out=sums[1:])
