@@ -2,7 +2,8 @@
 
 Texts are counted in words and cut into pieces no longer than a bin. Pieces are put into bins by best fit in decreasing
 order. Then the bins that aren't full are improved: a piece moves to another bin, two pieces are exchanged, or two
-are exchanged for one, whenever the sum of the squared fills grows. A bin that becomes empty is gone.
+are exchanged for one, whenever the sum of the squared fills grows, until no exchange of two bins raises it. A bin that
+becomes empty is gone.
 
 Pieces are packed in shards of about ``shard_items`` by a hash of the id: a packing loses at most a few bins a shard, and
 no task sees more than a shard.
@@ -10,7 +11,6 @@ no task sees more than a shard.
 
 from __future__ import annotations
 
-import bisect
 import math
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, words_of
 
-CAPACITY, SHARD_ITEMS, ROUNDS = 4096, 20_000, 8
+CAPACITY, SHARD_ITEMS, ROUNDS = 4096, 20_000, None
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -47,70 +47,119 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
+class Bin:
+    """Pieces by length. Bit n of ``one`` says that a piece, of ``two`` that two pieces together, have the length n.
+
+    A bin of capacity c has less than sqrt(2 c) different lengths, so all exchanges of two bins are weighed in at most
+    that many operations on words of c bits, however many pieces there are.
+    """
+
+    __slots__ = ("by_length", "fill", "one", "_two")
+
+    def __init__(self, items: list[int], lengths: list[int]):
+        self.by_length: dict[int, list[int]] = {}
+        self.fill, self.one, self._two = 0, 0, None
+        for i in items:
+            self.put(lengths[i], i)
+
+    def put(self, n: int, i: int) -> None:
+        self.by_length.setdefault(n, []).append(i)
+        self.fill += n
+        self.one |= 1 << n
+        self._two = None
+
+    def take(self, n: int) -> int:
+        several = self.by_length[n]
+        i = several.pop()
+        if not several:
+            del self.by_length[n]
+            self.one &= ~(1 << n)
+        self.fill -= n
+        self._two = None
+        return i
+
+    @property
+    def two(self) -> int:
+        if self._two is None:
+            self._two = 0
+            for n, several in self.by_length.items():
+                self._two |= (self.one if len(several) > 1 else self.one & ~(1 << n)) << n
+        return self._two
+
+    def parts(self, n: int, pieces: int) -> list[int]:
+        """The lengths of so many pieces that have the length n together."""
+        if pieces == 1:
+            return [n]
+        return next([x, n - x] for x in sorted(self.by_length) if n - x in self.by_length and (2 * x != n or len(self.by_length[x]) > 1))
+
+    def items(self) -> list[int]:
+        return [i for n in sorted(self.by_length, reverse=True) for i in self.by_length[n]]
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int | None = ROUNDS) -> list[list[int]]:
     """Local search on the bins that aren't full: moves, one-for-one and two-for-one exchanges that raise the sum of squared fills.
 
-    The emptiest bin gives, the fuller bins take. Every step raises the sum, so the search ends; ``rounds`` passes at most.
+    The emptiest bin gives, the fuller bins take. Every step raises the sum, which has a bound, so the search ends, where no
+    exchange of any two bins raises it any more (or after ``rounds`` passes, if given).
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        open_ = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
+    held = [Bin(b, lengths) for b in bins]
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
+        open_ = sorted((b for b in range(len(held)) if 0 < held[b].fill < capacity), key=lambda b: (held[b].fill, b))
         changed = False
         for at, a in enumerate(open_):
             for b in reversed(open_[at + 1 :]):
-                if not bins[a]:
+                if not held[a].fill:
                     break
-                if not bins[b] or fill[b] >= capacity:
-                    continue
-                while bins[a] and _step(a, b, bins, fill, lengths, capacity):
+                while held[a].fill and 0 < held[b].fill < capacity and _step(held[a], held[b], capacity):
                     changed = True
         if not changed:
             break
-    return [b for b in bins if b]
+    return [b.items() for b in held if b.fill]
+
+
+def _highest(bits: int, room: int) -> int:
+    return (bits & ((2 << room) - 1)).bit_length() - 1
 
 
-def _step(a: int, b: int, bins, fill, lengths, capacity) -> bool:
-    """The best exchange that shifts length from bin a to bin b (or back, if a is fuller); False if none raises the sum."""
-    if fill[a] > fill[b]:
+def _step(a: Bin, b: Bin, capacity: int) -> bool:
+    """The best exchange that shifts length from one bin to the fuller one (of equals, to the second); False if none raises the sum."""
+    if a.fill > b.fill:
         a, b = b, a
-    room = capacity - fill[b]
-    # A shift of d > 0 from the emptier a to the fuller b raises the sum; the largest d that fits is best.
+    room = capacity - b.fill
+    # A shift of d > 0 from the emptier a to the fuller b raises the sum; the largest d that fits is best, of equals the simplest.
     best, how = 0, None
-    mine = sorted((lengths[i], i) for i in bins[a])
-    theirs = sorted((lengths[i], i) for i in bins[b])
-    k = bisect.bisect_right(mine, (room, math.inf)) - 1
-    if k >= 0 and mine[k][0] > best:
-        best, how = mine[k][0], ([mine[k][1]], [])
+    d = _highest(a.one, room)  # a piece moves
+    if d > best:
+        best, how = d, (d, 1, 0, 0)
+    for give, pieces in ((a.one, 1), (a.two, 2)):  # one for one, two for one
+        if pieces == 2 and best < room and (d := _highest(give, room)) > best:  # two pieces move
+            best, how = d, (d, 2, 0, 0)
+        if best < room:
+            for t in b.by_length:
+                d = _highest(give >> t, room)
+                if d > best:
+                    best, how = d, (d + t, pieces, t, 1)
     if best < room:
-        for n, i in mine:  # one for one
-            k = bisect.bisect_left(theirs, (n - room, -1))
-            if k < len(theirs) and best < n - theirs[k][0] <= room:
-                best, how = n - theirs[k][0], ([i], [theirs[k][1]])
-    if best < room and len(mine) <= 64 and len(theirs) <= 64:
-        for x in range(len(mine)):  # two for one
-            for y in range(x):
-                n = mine[x][0] + mine[y][0]
-                k = bisect.bisect_left(theirs, (n - room, -1))
-                if k < len(theirs) and best < n - theirs[k][0] <= room:
-                    best, how = n - theirs[k][0], ([mine[x][1], mine[y][1]], [theirs[k][1]])
-                if best < n <= room:
-                    best, how = n, ([mine[x][1], mine[y][1]], [])
-        for n, i in mine:  # one for two
-            for x in range(len(theirs)):
-                k = bisect.bisect_left(theirs, (n - theirs[x][0] - room, -1), 0, x)
-                if k < x and best < n - theirs[x][0] - theirs[k][0] <= room:
-                    best, how = n - theirs[x][0] - theirs[k][0], ([i], [theirs[x][1], theirs[k][1]])
+        for g in a.by_length:  # one for two
+            least = max(0, g - room)
+            take = b.two >> least
+            if take and best < (d := g - least - (take & -take).bit_length() + 1):
+                best, how = d, (g, 1, g - d, 2)
     if how is None:
         return False
-    give, take = set(how[0]), set(how[1])
-    bins[a] = [i for i in bins[a] if i not in give] + list(how[1])
-    bins[b] = [i for i in bins[b] if i not in take] + list(how[0])
-    fill[a] -= best
-    fill[b] += best
+    g, give, t, take = how
+    to_b = [(n, a.take(n)) for n in a.parts(g, give)]
+    to_a = [(n, b.take(n)) for n in b.parts(t, take)] if take else []
+    for n, i in to_b:
+        b.put(n, i)
+    for n, i in to_a:
+        a.put(n, i)
     return True
 
 
-def _pack(capacity: int, rounds: int):
+def _pack(capacity: int, rounds: int | None):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "copy"], ascending=[False, True, True, True], ignore_index=True)
         lengths = pdf["length"].tolist()
@@ -127,12 +176,12 @@ def _pack(capacity: int, rounds: int):
     return pack
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, rounds: int | None = ROUNDS) -> DataFrame:
     """``bin, doc_id, copy, piece, word_start, length, bin_offset``: where the words of every document go.
 
     Every word is in exactly one bin. A text longer than a bin is cut into full pieces and a rest. Rows that repeat an
     id are numbered by ``copy`` (longest first) and packed each. A text without a word (null, empty) takes no place and
-    has no row. Equal lengths go by id. Null ids are left out. Empty in, empty out.
+    has no row. Equal lengths go by id. Ids are integers, or are cast to such. Null ids are left out. Empty in, empty out.
     """
     lengths = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("n")).where("doc_id IS NOT NULL AND n > 0")
     # Rows of one id become one row with their lengths, longest first: the number of a copy doesn't depend on the order read.
