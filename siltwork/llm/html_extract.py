@@ -17,6 +17,7 @@ import html
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SALT, LONGEST, DEEPEST = 16, 24, 100
+FAN, DEEPEST = 512, 100
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<!\w[^>]*>|<(/?[a-zA-Z][\w:-]*)[^>]*>|([^<]+|<)", re.S | re.I)
 TEXT = "#"
 
@@ -104,24 +105,14 @@ def fold(labels: tuple, groups: tuple = ()) -> tuple:
             items[-1][1].append(i)
         else:
             items.append((x, [i]))
-    size = 2
-    while size <= min(LONGEST, len(items) // 2):
-        out, i, found = [], 0, False
-        while i < len(items):
-            name = tuple(x for x, _ in items[i : i + size])
-            j = i + size
-            if len(name) == size and tuple(x for x, _ in items[j : j + size]) == name:
-                copies = [items[i:j]]
-                while tuple(x for x, _ in items[j : j + size]) == name:
-                    copies.append(items[j : j + size])
-                    j += size
-                out.append((name, copies))
-                i, found = j, True
-            else:
-                out.append(items[i])
-                i += 1
-        items = _joined(out)
-        size = 2 if found else size + 1
+    while (found := _copies([x for x, _ in items])) is not None:
+        size, places = found
+        out, i = [], 0
+        for at, n in places:
+            out += items[i:at]
+            out.append((tuple(x for x, _ in items[at : at + size]), [items[at + k * size : at + (k + 1) * size] for k in range(n)]))
+            i = at + n * size
+        items = _joined(out + items[i:])
     for name in groups:
         out, i, n = [], 0, len(name)
         while i < len(items):
@@ -135,6 +126,36 @@ def fold(labels: tuple, groups: tuple = ()) -> tuple:
     return tuple(items)
 
 
+def _copies(labels: list) -> tuple[int, list[tuple[int, int]]] | None:
+    """The shortest run, of two labels or more, that is followed by a copy of itself: (size, [(first place, copies)]), from the left.
+
+    A run of any length is found. A label that occurs once is in no copy, so only what lies between such labels is looked at.
+    """
+    if len(labels) < 4:
+        return None
+    count: dict = {}
+    for x in labels:
+        count[x] = count.get(x, 0) + 1
+    number = {x: k for k, x in enumerate(count)}
+    parts, begin = [], 0
+    for i, x in enumerate([*labels, None]):
+        if x is None or count[x] == 1:
+            if i - begin >= 4:
+                parts.append((begin, np.array([number[y] for y in labels[begin:i]])))
+            begin = i + 1
+    for size in range(2, max((len(x) for _, x in parts), default=0) // 2 + 1):
+        places = []
+        for begin, x in parts:
+            if len(x) < 2 * size:
+                continue
+            same = x[:-size] == x[size:]
+            edge = np.flatnonzero(np.diff(same.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+            places += [(begin + a, (b - a) // size + 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= size]
+        if places:
+            return size, places
+    return None
+
+
 def _joined(items: list) -> list:
     out: list = []
     for x, members in items:
@@ -365,15 +386,21 @@ def _streams(batches):
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, wrapper``. A host's distinct streams are merged in ``SALT`` parts, then the parts; nulls are empty pages."""
+    """``host, wrapper``. A host's distinct streams are merged ``FAN`` at a time, then what results, until one is left; nulls are empty pages."""
     rows = pages.select(host_of(F.col(url_col).cast("string")).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    streams = rows.mapInArrow(_streams, "host string, stream string").distinct()
+    streams = cut(rows.mapInArrow(_streams, "host string, stream string").distinct(), "streams")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": pdf["host"].iloc[:1], "stream": [infer(pdf["stream"].tolist())]})
 
-    parts = streams.withColumn("part", F.pmod(F.xxhash64("stream"), F.lit(SALT))).groupBy("host", "part").applyInPandas(one, "host string, stream string")
-    return parts.groupBy("host").applyInPandas(one, "host string, stream string").withColumnRenamed("stream", "wrapper")
+    while True:
+        sizes = streams.groupBy("host").agg(F.ceil(F.count("*") / FAN).alias("parts"))
+        most = sizes.agg(F.max("parts")).first()[0] or 0
+        parts = streams.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("stream"), "parts"))
+        streams = parts.groupBy("host", "part").applyInPandas(one, "host string, stream string")
+        if most <= 1:
+            return streams.withColumnRenamed("stream", "wrapper")
+        streams = cut(streams.distinct(), "streams")
 
 
 def _fields(batches):
@@ -388,7 +415,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     A slot that only one page of the host has is data. Null or empty pages have no slot, and so no row. Pages without a
     host share the host ''. Rows that repeat an id and a page count once; rows with one id and several pages each report
-    their slots. Null ids are left out. Empty in, empty out.
+    their slots. Ids are integers, or are cast to such. Null ids are left out. Empty in, empty out.
     """
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host_of(F.col(url_col).cast("string")).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).where("page_id IS NOT NULL")
     wraps = cut(wrappers(pages.where(F.col(id_col).isNotNull()), url_col, html_col), "wrappers")

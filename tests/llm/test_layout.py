@@ -45,6 +45,68 @@ def test_fold_and_show():
         assert H.show(H.parse(e)) == e
 
 
+@pytest.mark.parametrize("size", [2, 24, 25, 300])
+def test_runs_of_any_length_are_groups(size):
+    """A record of any number of siblings is one group, and the same field of each record is one slot."""
+    names = [f"t{i}" for i in range(size)]
+    record = "".join(f"<{n}>v</{n}>" for n in names)
+    for copies, before, after in ((2, "", ""), (3, "<h>x</h>", ""), (5, "<h>x</h>", "<f>y</f>")):
+        page = before + record * copies + after
+        expr = H.expression(H.tree(H.tokens(page)))
+        groups = [n for n in expr if isinstance(n[0], tuple)]
+        assert len(groups) == 1 and groups[0][0] == tuple(names) and groups[0][2] and len(expr) == 1 + bool(before) + bool(after)
+        slots = H.Reader(H.show(expr)).slots(page)
+        assert len(slots) == size + bool(before) + bool(after) and sum(v == ["v"] * copies for v in slots.values()) == size
+
+
+def test_folding_against_every_run():
+    """The copies that are grouped first are the shortest, from the left, as trying all runs says."""
+    for seed in range(300):
+        r = random.Random(seed)
+        x = [r.choice("abcde") for _ in range(r.randint(0, 14))]
+        want = next(((n, i) for n in range(2, len(x) // 2 + 1) for i in range(len(x) - 2 * n + 1) if x[i : i + n] == x[i + n : i + 2 * n]), None)
+        got = H._copies(x)
+        assert (got and (got[0], got[1][0][0])) == want
+        for at, n in got[1] if got else ():
+            assert x[at : at + got[0]] * n == x[at : at + got[0] * n]
+
+
+def test_extraction_brute(spark, data):
+    """Slots, template and data of every page, against the wrapper applied page by page in plain Python."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    host = lambda u: (u or "").split("://")[-1].split("/")[0].split("@")[-1].split(":")[0].lower()
+    by_host = defaultdict(list)
+    for i, u, h in rows:
+        by_host[host(u)].append((i, h or ""))
+    want = set()
+    for name, pages in by_host.items():
+        wrapper = H.infer(list({H.show(H.expression(H.tree(H.tokens(h)))) for _, h in pages}))
+        assert all(derives(H.parse(wrapper), [t for n in H.tree(H.tokens(h)) for t in flat(n)]) for _, h in pages[:5])
+        held = [(i, H.Reader(wrapper).slots(h)) for i, h in pages]
+        for slot in {s for _, f in held for s in f}:
+            texts = [(i, tuple(f[slot])) for i, f in held if slot in f]
+            if len(texts) == 1 or len({t for _, t in texts}) > 1:
+                want |= {(i, name, t) for i, t in texts}
+    got = {(r.page_id, r.host, tuple(r.texts)) for r in H.extract_pages(spark.read.parquet(f"{data}/pages.parquet")).collect()}
+    assert got == want and len(got) > 20
+
+
+def test_many_streams_of_a_host(spark, monkeypatch):
+    """However many streams a host has, they are merged few at a time; the wrapper derives each of them."""
+    monkeypatch.setattr(H, "FAN", 3)
+    r = random.Random(7)
+    rows = [(i, "http://a.b/", "".join(f"<{t}>w</{t}>" for t in ("h", "p", "q", "s", "u", "v") if r.random() < 0.7)) for i in range(60)]
+    got = H.wrappers(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == 1 and all(derives(H.parse(got[0].wrapper), [t for n in H.tree(H.tokens(h)) for t in flat(n)]) for _, _, h in rows)
+
+
+def flat(node):
+    label, held = node
+    if label == "#" or label.endswith("/"):
+        return [label.removesuffix("/") if label != "#" else label]
+    return [label, *(t for n in held for t in flat(n)), "/" + label]
+
+
 def derives(expr, stream):
     """Brute force: does the union-free expression derive the stream of tokens?"""
 
@@ -167,6 +229,44 @@ def test_search_only_improves():
     assert len(packing.improve([[0, 1], [2], [3]], [4, 4, 6, 6], 10)) == 2
 
 
+def best_shift(a, b, capacity):
+    """The largest shift from the emptier bin to the fuller that a move or exchange of up to two for one makes, by trying all."""
+    if sum(a) > sum(b):
+        a, b = b, a
+    room = capacity - sum(b)
+    pairs = lambda xs: {x + y for i, x in enumerate(xs) for y in xs[:i]}
+    shifts = [*a, *pairs(a), *(x - y for x in [*a, *pairs(a)] for y in b), *(x - y for x in a for y in pairs(b))]
+    return max((d for d in shifts if 0 < d <= room), default=0)
+
+
+@pytest.mark.parametrize("pieces", [5, 64, 65, 300])
+def test_exchanges_for_any_number_of_pieces(pieces):
+    for seed in range(20):
+        r = random.Random(seed)
+        low = r.choice([1, 7, 11])
+        lengths = [low * r.randint(1, 12) for _ in range(pieces)] + [low * r.randint(1, 12) for _ in range(pieces)]
+        a, b = lengths[:pieces], lengths[pieces:]
+        capacity = max(sum(a), sum(b)) + r.randint(1, 4)
+        want = best_shift(a, b, capacity)
+        x, y = packing.Bin(list(range(pieces)), lengths), packing.Bin(list(range(pieces, 2 * pieces)), lengths)
+        high = max(x.fill, y.fill)
+        assert packing._step(x, y, capacity) == (want > 0)
+        assert max(x.fill, y.fill) == high + want and x.fill + y.fill == sum(lengths)
+        assert sorted(x.items() + y.items()) == list(range(2 * pieces)) and all(z.fill == sum(lengths[i] for i in z.items()) for z in (x, y))
+    # Seven ones and one of seven against a bin of nines with room for one: only two for one fits.
+    assert packing._step(packing.Bin([0, 1] + [2] * pieces, [5, 5, 20, 9]), packing.Bin([3] * (3 * pieces), [5, 5, 20, 9]), 27 * pieces + 1)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_ends_at_a_local_optimum(seed):
+    r = random.Random(seed)
+    lengths = [r.randint(1, 70) for _ in range(r.choice([40, 200]))]
+    end = packing.improve(packing.best_fit(lengths, 256), lengths, 256)
+    assert sorted(i for b in end for i in b) == list(range(len(lengths)))
+    bins = [[lengths[i] for i in b] for b in end]
+    assert not any(sum(a) < 256 and sum(b) < 256 and best_shift(a, b, 256) for i, a in enumerate(bins) for b in bins[:i])
+
+
 def test_packing_odd(spark):
     got = packing.pack(odd(spark)).collect()
     assert {r.doc_id for r in got} == {0, 1, 2, 5, 6, 7, 8, 9, 11} and Counter(r.doc_id for r in got)[8] == 2 and Counter(r.doc_id for r in got)[9] == 2
