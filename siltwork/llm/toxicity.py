@@ -72,7 +72,7 @@ class Model:
         return q, found or (top if q >= self.threshold else [])
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 300, least_docs: int = 2, l2: float = 1e-5) -> Model | None:
+def fit(texts: list[str], labels: list[int], epochs: int = 300, least_docs: int = 2, l1: float = 1e-5) -> Model | None:
     """Fit by gradient descent (Adam) on the documents' log likelihood; None unless both labels occur.
 
     Copies of a text count once, a feature must occur in ``least_docs`` documents.
@@ -133,7 +133,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 300, least_docs: int
         q = np.clip(-np.expm1(log_none), 1e-9, 1 - 1e-9)
         pull = np.where(y > 0, (1 - q) / q, -1.0) * train / n_train  # d loglik / d(-log_none)
         gz = pull[doc_of] * p
-        gw = np.bincount(feat_of, gz[sent_of], minlength=len(names)) - l2 * np.sign(w)
+        gw = np.bincount(feat_of, gz[sent_of], minlength=len(names)) - l1 * np.sign(w)
         gb = gz.sum() + (pull * plain).sum() * p0
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -160,8 +160,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL")
     known = known.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).where("__id IS NOT NULL AND __t IS NOT NULL")
-    got = rows.join(F.broadcast(known), "__id").select(F.xxhash64("__id").alias("__h"), "__id", "__t", "__y").toPandas()
-    got = got.sort_values(["__h", "__id", "__t"])
+    # Of ids that rows repeat, too, no more than max_train rows come to the driver.
+    chosen = rows.join(F.broadcast(known), "__id").select(F.xxhash64("__id").alias("__h"), "__id", "__t", "__y").orderBy("__h", "__id", F.xxhash64("__t")).limit(max_train)
+    got = chosen.toPandas()
     return fit(got["__t"].tolist(), (got["__y"] > 0).astype(int).tolist())
 
 
@@ -171,7 +172,7 @@ _SCHEMA = "doc_id bigint, toxicity double, is_toxic boolean, offending array<str
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> DataFrame:
     """``doc_id, toxicity, is_toxic, offending`` for each row with an id; ``offending`` are the sentences' places.
 
-    A null, empty or wordless text has toxicity 0. Without labels of both kinds nothing can be learned: toxicity is
+    A null, empty or wordless text has toxicity 0. Ids are integers, or are cast to such. Without labels of both kinds nothing can be learned: toxicity is
     null and ``is_toxic`` false. Repeated rows are scored each. Empty in, empty out.
     """
     return _scored(docs, train_toxicity(docs, labels, id_col, text_col, label_col, max_train), id_col, text_col)
