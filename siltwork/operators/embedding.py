@@ -5,15 +5,16 @@ from __future__ import annotations
 import json
 import math
 import os
-import shutil
+import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import BUCKETS, hash_embed, hash_embedding
+from .. import storage
 from ..schema import CorpusSchema
 
 LAYERS, HEADS, BATCH, QUERY_CACHE, MAX_TOKENS = 4, 8, 8, 4096, 512
@@ -115,11 +116,7 @@ def read_safetensors(path: str) -> dict[str, np.ndarray]:
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
-    return np.vectorize(math.erf, otypes=[np.float64])(x) if x.size < 4096 else _erf_series(x)
-
-
-def _erf_series(x: np.ndarray) -> np.ndarray:
-    """erf to about 1e-7, by the usual Chebyshev fit of erfc."""
+    """erf to about 1e-7, by the usual Chebyshev fit of erfc; the same for batches of any size."""
     z = np.abs(x)
     t = 1 / (1 + 0.5 * z)
     poly = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -130,7 +127,7 @@ def _erf_series(x: np.ndarray) -> np.ndarray:
 
 
 class BertEncoder:
-    """Four transformer layers on NumPy: the first token's state at unit length. Weights are broadcast by the closure once."""
+    """Four transformer layers on NumPy: the first token's state at unit length. The weights are broadcast once for all columns."""
 
     name = "bert"
 
@@ -145,6 +142,7 @@ class BertEncoder:
         self.t, self.tokens = t, WordPiece(read_vocabulary(vocabulary))
         self.dim = t["embeddings.word_embeddings.weight"].shape[1]
         self.positions = t["embeddings.position_embeddings.weight"].shape[0]
+        self.files = {"model.safetensors": weights, "vocab.txt": vocabulary}
         self.queries: dict[str, np.ndarray] = {}
         self.shared = None
 
@@ -210,13 +208,40 @@ class BertEncoder:
         return {**self.__dict__, "queries": {}, "shared": None}
 
     def column(self, text: Column) -> Column:
+        context = SparkSession.active().sparkContext
+        if self.shared is None or self.shared[0] is not context:
+            self.shared = context, context.broadcast(self)
+        shared = self.shared[1]
+
         @F.pandas_udf("array<float>")
         def encode(texts: pd.Series) -> pd.Series:
-            return pd.Series(self.encode_all([t or "" for t in texts]).tolist())
+            return pd.Series(shared.value.encode_all([t or "" for t in texts]).tolist())
 
         return encode(text)
 
 
+def save_encoder(spark: SparkSession, encoder, folder: str) -> None:
+    """Copy an encoder's files beside the index that it made; the hash encoder has none."""
+    for name, path in getattr(encoder, "files", {}).items():
+        with open(path, "rb") as f:
+            storage.write_bytes(spark, f"{folder}/{name}", f.read())
+
+
+def load_encoder(spark: SparkSession, folder: str, name: str):
+    """The encoder whose files a snapshot holds; None if it isn't one that can be restored."""
+    if name == HashEncoder.name:
+        return HashEncoder()
+    if name != BertEncoder.name:
+        return None
+    with tempfile.TemporaryDirectory() as here:  # read by the driver alone, and only until the weights are in memory
+        for file in ("model.safetensors", "vocab.txt"):
+            with open(os.path.join(here, file), "wb") as f:
+                f.write(storage.read_bytes(spark, f"{folder}/{file}"))
+        made = BertEncoder(os.path.join(here, "model.safetensors"), os.path.join(here, "vocab.txt"))
+    made.files = {}
+    return made
+
+
 def content_key(text: Column, encoder_name: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(encoder_name), text), 256)
 
@@ -229,7 +254,7 @@ def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
 def load_cache(spark, folder: str, dim: int) -> DataFrame:
     """The cached (key, vec); empty if there is no cache, it can't be read or has another dimension."""
     empty = spark.createDataFrame([], "key string, vec array<float>")
-    if not folder or not os.path.isdir(f"{folder}/entries"):
+    if not folder or not storage.is_folder(spark, f"{folder}/entries"):
         return empty
     try:
         cache = spark.read.parquet(f"{folder}/entries")
@@ -242,13 +267,10 @@ def load_cache(spark, folder: str, dim: int) -> DataFrame:
 
 def save_cache(entries: DataFrame, folder: str) -> None:
     """Replace the cache: written beside, then renamed; what isn't current any more goes."""
-    os.makedirs(folder, exist_ok=True)
-    new, old = f"{folder}/entries-{uuid.uuid4().hex}", f"{folder}/old-{uuid.uuid4().hex}"
+    spark = entries.sparkSession
+    new = f"{folder}/entries-{uuid.uuid4().hex}"
     entries.select("key", "vec").dropDuplicates(["key"]).write.parquet(new)
-    if os.path.isdir(f"{folder}/entries"):
-        os.replace(f"{folder}/entries", old)
-    os.replace(new, f"{folder}/entries")
-    shutil.rmtree(old, ignore_errors=True)
+    storage.move(spark, new, f"{folder}/entries")
 
 
 def embed_fields(items: DataFrame, schema: CorpusSchema, encoder, out: str, cache_dir: str = "") -> None:
@@ -265,4 +287,4 @@ def embed_fields(items: DataFrame, schema: CorpusSchema, encoder, out: str, cach
     rows.select("idx", "field", "key").join(known, "key").select("idx", "field", "vec").write.partitionBy("field").parquet(out)
     if cache_dir:
         save_cache(known.join(rows.select("key").distinct(), "key", "left_semi"), cache_dir)
-    shutil.rmtree(f"{out}-fresh", ignore_errors=True)
+    storage.delete(spark, f"{out}-fresh")

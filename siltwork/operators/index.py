@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 from dataclasses import dataclass, field
 
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import merge_tags
 from ..functions.text import tokens
+from .. import storage
 from ..schema import CorpusSchema
 
 CURRENT = "CURRENT"
@@ -63,13 +62,18 @@ def field_rows(items: DataFrame, schema: CorpusSchema) -> DataFrame:
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """(idx, field, term, tf): how often each term occurs in each field of each item."""
-    return rows.select("idx", "field", F.explode(tokens(F.col("text"))).alias("term")).groupBy("idx", "field", "term").agg(F.count("*").alias("tf"))
+    """(idx, field, term, tf, dl): how often each term occurs in each field of each item, beside the field's length.
+
+    The texts are partitioned by item, so that their terms, which are several times as many bytes, are counted where they are.
+    """
+    terms = rows.repartition("idx").select("idx", "field", tokens(F.col("text")).alias("t"))
+    each = terms.select("idx", "field", F.size(F.array_distinct("t")).cast("bigint").alias("dl"), F.explode("t").alias("term"))
+    return each.groupBy("idx", "field", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def doc_lengths(post: DataFrame) -> DataFrame:
-    """(idx, field, dl): the number of distinct terms."""
-    return post.groupBy("idx", "field").agg(F.count("*").alias("dl"))
+def doc_lengths(rows: DataFrame) -> DataFrame:
+    """(idx, field, dl): the number of distinct terms of the fields that have any, text by text."""
+    return rows.select("idx", "field", F.size(F.array_distinct(tokens(F.col("text")))).cast("bigint").alias("dl")).where("dl > 0")
 
 
 def field_stats(lengths: DataFrame, n_items: int) -> DataFrame:
@@ -90,7 +94,6 @@ class Index:
     schema: CorpusSchema
     items: DataFrame
     postings: DataFrame
-    lengths: DataFrame
     stats: DataFrame
     vectors: DataFrame | None = None
     path: str = ""
@@ -106,86 +109,90 @@ class Index:
         return self.schema.names()
 
 
-def index_of(items: DataFrame, schema: CorpusSchema, encoder=None) -> Index:
+def index_of(items: DataFrame, schema: CorpusSchema, encoder=None, vectors: DataFrame | None = None) -> Index:
     """An index that isn't stored, of items with (idx, id, path, source, tags, f0, f1, ...); for ad-hoc queries and tests."""
-    post = postings(field_rows(items, schema))
-    lengths = doc_lengths(post)
+    rows = field_rows(items, schema)
     n = items.count()
-    vectors = None
-    if encoder is not None and schema.embeddable():
-        rows = field_rows(items, schema).where(F.col("field").isin([f.name for f in schema.embeddable()]))
-        vectors = rows.select("idx", "field", encoder.column(F.substring("text", 1, schema.embed_chars())).alias("vec"))
-    return Index(items.sparkSession, schema, items, post, lengths, field_stats(lengths, max(n, 1)), vectors, "", encoder)
+    if vectors is None and encoder is not None and schema.embeddable():
+        embedded = rows.where(F.col("field").isin([f.name for f in schema.embeddable()]))
+        vectors = embedded.select("idx", "field", encoder.column(F.substring("text", 1, schema.embed_chars())).alias("vec"))
+    return Index(items.sparkSession, schema, items, postings(rows), field_stats(doc_lengths(rows), max(n, 1)), vectors, "", encoder)
 
 
 def build_index(items: DataFrame, schema: CorpusSchema, path: str, encoder=None, cache_dir: str = "", progress=None) -> dict[str, int]:
-    """Write a snapshot of the index below ``path`` and make it the current one; the schema file is written last.
+    """Write a snapshot of the index below ``path`` and make it the current one; returns how many items it has, how many files were skipped.
 
-    No item is an error. With an encoder, only texts whose content hash isn't in the embedding cache are encoded.
+    The sources are read once. No item is an error. With an encoder, only texts whose content hash isn't in the embedding
+    cache are encoded, and the encoder's files are copied into the snapshot. A manifest says what the snapshot holds.
     """
-    from .embedding import embed_fields
+    from .embedding import embed_fields, save_encoder
 
     tell = progress or (lambda stage, done, total: None)
     spark = items.sparkSession
     schema.validate()
-    good = items.where("error IS NULL") if "error" in items.columns else items
-    snap = os.path.join(path, f"snapshot-{uuid.uuid4().hex}")
+    snap = f"{path.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
     staging = f"{snap}/staging"
     tell("items", 0, 4)
-    numbered(normalise_items(good, schema), staging).write.parquet(f"{snap}/items")
+    skipped = 0
+    if "error" in items.columns:
+        items.write.parquet(f"{snap}/scanned")
+        items = spark.read.schema(items.schema).parquet(f"{snap}/scanned")
+        skipped = items.where("error IS NOT NULL").count()
+        items = items.where("error IS NULL")
+    numbered(normalise_items(items, schema), staging).write.parquet(f"{snap}/items")
     rows = spark.read.parquet(f"{snap}/items")
     n = rows.count()
     if not n:
-        shutil.rmtree(snap, ignore_errors=True)
+        storage.delete(spark, snap)
         raise ValueError("there is nothing to index")
     tell("postings", 1, 4)
     # Sorted by term, so that a query's terms prune files and row groups.
     postings(field_rows(rows, schema)).repartitionByRange("term").sortWithinPartitions("term", "field", "idx").write.parquet(f"{snap}/postings")
-    post = spark.read.parquet(f"{snap}/postings")
-    lengths = doc_lengths(post)
-    lengths.write.parquet(f"{snap}/lengths")
-    field_stats(spark.read.parquet(f"{snap}/lengths"), n).write.parquet(f"{snap}/stats")
+    field_stats(doc_lengths(field_rows(rows, schema)), n).write.parquet(f"{snap}/stats")
     tell("embeddings", 2, 4)
-    if encoder is not None and schema.embeddable():
+    embedded = encoder is not None and bool(schema.embeddable())
+    if embedded:
         embed_fields(rows, schema, encoder, f"{snap}/vectors", cache_dir)
+        save_encoder(spark, encoder, f"{snap}/model")
     tell("schema", 3, 4)
-    shutil.rmtree(staging, ignore_errors=True)
-    schema.save(f"{snap}/schema.json")
-    publish(path, snap)
+    for name in ("staging", "scanned"):
+        storage.delete(spark, f"{snap}/{name}")
+    storage.write_bytes(spark, f"{snap}/manifest.json", json.dumps({"items": n, "vectors": embedded, "encoder": encoder.name if embedded else ""}).encode())
+    storage.write_bytes(spark, f"{snap}/schema.json", schema.to_json().encode())
+    publish(spark, path, snap)
     tell("done", 4, 4)
-    return {"items": n}
+    return {"items": n, "skipped": skipped}
 
 
-def publish(path: str, snap: str) -> None:
+def publish(spark: SparkSession, path: str, snap: str) -> None:
     """Make a snapshot current by replacing the pointer file in one step; older snapshots but one go."""
-    schema = os.path.join(path, "schema.json")
-    shutil.copy(f"{snap}/schema.json", f"{schema}.tmp")
-    os.replace(f"{schema}.tmp", schema)
-    pointer = os.path.join(path, CURRENT)
-    before = os.path.basename(current(path)) if os.path.exists(pointer) else ""
-    with open(f"{pointer}.tmp", "w", encoding="utf-8") as f:
-        json.dump({"snapshot": os.path.basename(snap)}, f)
-    os.replace(f"{pointer}.tmp", pointer)
-    clean_stale(path, keep={os.path.basename(snap), before})
-
-
-def clean_stale(path: str, keep: set[str] | None = None) -> None:
+    storage.write_bytes(spark, f"{path}/schema.json", storage.read_bytes(spark, f"{snap}/schema.json"))
+    before = current(spark, path) if storage.exists(spark, f"{path}/{CURRENT}") else ""
+    storage.write_bytes(spark, f"{path}/{CURRENT}", json.dumps({"snapshot": snap.rpartition("/")[2]}).encode())
+    clean_stale(spark, path, keep={snap.rpartition("/")[2], before.rpartition("/")[2]})
+
+
+def clean_stale(spark: SparkSession, path: str, keep: set[str] | None = None) -> None:
     """Remove snapshots that are neither current nor in ``keep``: what broken-off builds have left."""
-    keep = keep if keep is not None else {os.path.basename(current(path))} if os.path.exists(os.path.join(path, CURRENT)) else set()
-    if os.path.isdir(path):
-        for name in os.listdir(path):
-            if name.startswith("snapshot-") and name not in keep:
-                shutil.rmtree(os.path.join(path, name), ignore_errors=True)
+    if keep is None:
+        keep = {current(spark, path).rpartition("/")[2]} if storage.exists(spark, f"{path}/{CURRENT}") else set()
+    for name in storage.listing(spark, path):
+        if name.startswith("snapshot-") and name not in keep:
+            storage.delete(spark, f"{path}/{name}")
 
 
-def current(path: str) -> str:
-    with open(os.path.join(path, CURRENT), encoding="utf-8") as f:
-        return os.path.join(path, json.load(f)["snapshot"])
+def current(spark: SparkSession, path: str) -> str:
+    return f"{path.rstrip('/')}/{json.loads(storage.read_bytes(spark, f'{path}/{CURRENT}'))['snapshot']}"
 
 
 def load_index(spark: SparkSession, path: str, encoder=None) -> Index:
-    """The current snapshot's tables; nothing is read before a query."""
-    snap = current(path)
-    schema = CorpusSchema.load(f"{snap}/schema.json")
-    vectors = spark.read.parquet(f"{snap}/vectors") if os.path.isdir(f"{snap}/vectors") else None
-    return Index(spark, schema, spark.read.parquet(f"{snap}/items"), *(spark.read.parquet(f"{snap}/{t}") for t in ("postings", "lengths", "stats")), vectors, snap, encoder)
+    """The current snapshot's tables, and its own encoder unless one is given; no table is read before a query."""
+    from .embedding import load_encoder
+
+    snap = current(spark, path)
+    schema = CorpusSchema.from_json(storage.read_bytes(spark, f"{snap}/schema.json").decode())
+    manifest = json.loads(storage.read_bytes(spark, f"{snap}/manifest.json"))
+    vectors = spark.read.parquet(f"{snap}/vectors") if manifest["vectors"] else None
+    if encoder is None and manifest["vectors"]:
+        encoder = load_encoder(spark, f"{snap}/model", manifest["encoder"])
+    return Index(spark, schema, spark.read.parquet(f"{snap}/items"), *(spark.read.parquet(f"{snap}/{t}") for t in ("postings", "stats")), vectors, snap, encoder)

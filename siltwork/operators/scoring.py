@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
 def bm25(index: Index, terms: list[str], fields: list[Field]) -> DataFrame:
     """(idx, bm25): the weighted sum over fields, from the stored postings; only the query's terms are read.
 
-    Term frequencies are joined with statistics of as many rows as there are terms and fields.
+    What is joined has as many rows as there are terms and fields: lengths lie beside the term frequencies.
     """
     weights = {f.name: f.boost for f in fields}
     if not terms or not fields:
@@ -41,13 +43,25 @@ def bm25(index: Index, terms: list[str], fields: list[Field]) -> DataFrame:
     hits = index.postings.where(F.col("term").isin(terms) & F.col("field").isin(names))
     df = hits.groupBy("term", "field").agg(F.count("*").alias("df"))
     stats = index.stats.where(F.col("field").isin(names) & (F.col("avgdl") > 0))
-    lengths = index.lengths.where(F.col("field").isin(names))
     w = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("field"))
-    joined = hits.join(F.broadcast(df), ["term", "field"]).join(F.broadcast(stats), "field").join(lengths, ["idx", "field"])
+    joined = hits.join(F.broadcast(df), ["term", "field"]).join(F.broadcast(stats), "field")
     score = w * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
     return joined.groupBy("idx").agg(F.sum(score).alias("bm25"))
 
 
+_held: deque[DataFrame] = deque()
+
+
+def _kept(df: DataFrame, most: int = 2) -> DataFrame:
+    """``df`` kept for being read twice. Of several the last are kept; one that has gone is computed again where it is still read."""
+    _held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    while len(_held) > most:
+        old = _held.popleft()
+        if old.sparkSession.sparkContext._jsc is not None:
+            old.unpersist()
+    return df
+
+
 def _count(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
@@ -63,7 +77,7 @@ def bm25_scan(items: DataFrame, terms: list[str], fields: list[tuple[str, Column
     for i in range(len(fields)):
         toks = F.col(f"t{i}")
         cols += [F.size(F.array_distinct(toks)).alias(f"dl{i}")] + [_count(toks, q).alias(f"tf{i}_{j}") for j, q in enumerate(terms)]
-    counted = narrow.select(*keep, *cols).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = _kept(narrow.select(*keep, *cols))
     sums = [F.count("*").alias("n")]
     for i in range(len(fields)):
         sums += [F.sum(f"dl{i}").alias(f"sum{i}")] + [F.sum(F.when(F.col(f"tf{i}_{j}") > 0, 1).otherwise(0)).alias(f"df{i}_{j}") for j in range(len(terms))]

@@ -71,7 +71,7 @@ def build_postings(spark, sf_dir):
 
 
 def doc_length(spark, sf_dir):
-    return doc_lengths(build_postings(spark, sf_dir))
+    return doc_lengths(field_rows(_items(spark, sf_dir), CORPUS))
 
 
 def build_field_stats(spark, sf_dir):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from copy import deepcopy
+from dataclasses import replace
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -139,15 +141,21 @@ class Engine:
     """An index with a result cache; searches run in a job group that :meth:`cancel` ends."""
 
     def __init__(self, index: Index, group: str = "search"):
-        self.index, self.cache, self.group = index, ResultCache(), group
+        self.index, self.cache, self.group, self.lock = index, ResultCache(), group, Lock()
 
     def search(self, options: SearchOptions) -> list[dict]:
-        got = self.cache.get(options)
+        with self.lock:
+            got = self.cache.get(options)
         if got is None:
+            # The frames that a search keeps are its own, so that searches can run side by side.
+            own = replace(self.index, cached=[])
             self.index.spark.sparkContext.setJobGroup(self.group, options.query, interruptOnCancel=True)
-            got = [r.asDict() for r in search(self.index, options).collect()]
-            self.index.close()
-            self.cache.set(options, got)
+            try:
+                got = [r.asDict() for r in search(own, options).collect()]
+            finally:
+                own.close()
+            with self.lock:
+                self.cache.set(options, got)
         return got
 
     def fast_search(self, text: str, k: int = 10) -> list[dict]:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
+from .. import storage
 from ..operators.index import build_index, current, load_index
 from ..schema import CorpusSchema, SearchOptions
 from ..sources.scan import SKILLS, WIKI, load_config, scan, scan_skills, scan_stats, scan_wiki
@@ -21,9 +20,9 @@ class Service:
         self.spark, self.encoder, self.engines = spark, encoder, {}
 
     def _engine(self, folder: str) -> Engine:
-        if not os.path.isdir(folder):
+        if not storage.is_folder(self.spark, folder):
             raise CommandError(f"{folder} is not a folder")
-        snap = current(folder)
+        snap = current(self.spark, folder)
         held = self.engines.get(folder)
         if held is None or held.index.path != snap:
             if held is not None:
@@ -45,29 +44,44 @@ class Service:
         return self._engine(index).fast_search(text, k)
 
     def schema(self, index: str) -> dict:
-        s = CorpusSchema.load(f"{index}/schema.json")
+        s = CorpusSchema.from_json(storage.read_bytes(self.spark, f"{index}/schema.json").decode())
         return {"name": s.name, "fields": [{"name": f.name, "type": f.type, "searchable": f.searchable, "embeddable": f.embeddable, "weight": f.weight, "display": f.display, "snippet": f.snippet, "strict": f.strict} for f in s.fields]}
 
     def index(self, config: str, output: str, max_embed_chars: int = 0, emb_cache: str = "", dry_run: bool = False) -> dict[str, int]:
         cfg = load_config(config)
         if max_embed_chars > 0:
             cfg.schema = CorpusSchema(cfg.schema.name, cfg.schema.fields, cfg.schema.name_field, max_embed_chars)
-        items = scan(self.spark, cfg)
-        stats = scan_stats(items)
-        if not dry_run:
-            os.makedirs(output, exist_ok=True)
-            build_index(items, cfg.schema, output, self.encoder, emb_cache)
-        return stats
+        return self._built(scan(self.spark, cfg), cfg.schema, output, emb_cache, dry_run)
+
+    def _built(self, items, schema: CorpusSchema, output: str, emb_cache: str, dry_run: bool) -> dict[str, int]:
+        """Count the items, or build with them; either way the sources are read once."""
+        if dry_run:
+            return scan_stats(items)
+        storage.make_folder(self.spark, output)
+        probe = f"{output.rstrip('/')}/.writable"
+        try:
+            storage.write_bytes(self.spark, probe, b"")
+            storage.delete(self.spark, probe)
+        except Exception as e:
+            raise CommandError(f"{output} can't be written to: {e}") from e
+        return build_index(items, schema, output, self.encoder, emb_cache)
 
     def build_preset(self, kind: str, folder: str, output: str, emb_cache: str = "", dry_run: bool = False) -> dict[str, int]:
+        """A preset's index. Its schema has embeddable fields, so that an encoder is required."""
         if kind not in ("skills", "wiki"):
             raise CommandError(f"unknown preset {kind}")
+        if not storage.is_folder(self.spark, folder):
+            raise CommandError(f"{folder} is not a folder")
+        if self.encoder is None and not dry_run:
+            raise CommandError("a preset needs an encoder")
         items = (scan_skills if kind == "skills" else scan_wiki)(self.spark, folder)
-        stats = scan_stats(items)
-        if not dry_run:
-            os.makedirs(output, exist_ok=True)
-            build_index(items, SKILLS if kind == "skills" else WIKI, output, self.encoder, emb_cache)
-        return stats
+        return self._built(items, SKILLS if kind == "skills" else WIKI, output, emb_cache, dry_run)
+
+    def watch(self, config: str, output: str, emb_cache: str = "", interval: float = 5.0):
+        """A watcher that keeps an index in step with a configuration's sources; ``run()`` it, and ``stop()`` it from another thread."""
+        from ..streaming.live import Watcher
+
+        return Watcher(self.spark, load_config(config), output, self.encoder, emb_cache, interval)
 
     def close(self) -> None:
         for e in self.engines.values():

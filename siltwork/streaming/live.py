@@ -6,10 +6,12 @@ import json
 import os
 import threading
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators.index import build_index, clean_stale, current, load_index
 from ..plans.search import Engine
 from ..schema import SearchOptions
@@ -41,57 +43,78 @@ class Locked(RuntimeError):
 
 
 class WatchLock:
-    """One watcher for an index: a file with the process and a heartbeat, stale if the process is gone or silent."""
+    """One watcher for an index: a file with its name and a heartbeat. It is stale if it has been silent for ``STALE_SECONDS``.
 
-    def __init__(self, path: str):
-        self.path = os.path.join(path, ".watch.lock")
+    While it is held a thread beats, so that a rebuild of any length leaves it alive. A stale lock is taken away by renaming
+    it, which one taker can do, and then made anew, which one taker can do: of two that see it stale one gets it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, stale: float = STALE_SECONDS):
+        self.spark, self.folder, self.path, self.stale = spark, path.rstrip("/"), f"{path.rstrip('/')}/.watch.lock", stale
+        self.name, self.stopped, self.thread = uuid.uuid4().hex, threading.Event(), None
 
-    def _alive(self) -> bool:
+    def _held(self) -> dict:
         try:
-            with open(self.path, encoding="utf-8") as f:
-                held = json.load(f)
-            if time.time() - held["beat"] > STALE_SECONDS:
-                return False
-            os.kill(held["pid"], 0)
-            return True
-        except PermissionError:
-            return True
-        except (OSError, ValueError, KeyError):
-            return False
+            return json.loads(storage.read_bytes(self.spark, self.path))
+        except (OSError, ValueError):
+            return {}
 
     def acquire(self) -> None:
-        os.makedirs(os.path.dirname(self.path), exist_ok=True)
-        try:
-            os.close(os.open(self.path, os.O_CREAT | os.O_EXCL))
-        except FileExistsError:
-            if self._alive():
-                raise Locked(self.path) from None
-        self.beat()
+        storage.make_folder(self.spark, self.folder)
+        if not storage.create(self.spark, self.path, self._mark()):
+            held = self._held()
+            if time.time() - held.get("beat", 0) <= self.stale:
+                raise Locked(self.path)
+            old = f"{self.folder}/.watch.stale-{uuid.uuid4().hex}"
+            try:
+                storage.move(self.spark, self.path, old)
+            except Exception as e:  # another taker was first
+                raise Locked(self.path) from e
+            moved = json.loads(storage.read_bytes(self.spark, old) or b"{}")
+            storage.delete(self.spark, old)
+            if moved.get("name") != held.get("name"):  # it had just been taken over: give it back
+                storage.create(self.spark, self.path, json.dumps(moved).encode())
+                raise Locked(self.path)
+            if not storage.create(self.spark, self.path, self._mark()):
+                raise Locked(self.path)
+        self.stopped.clear()
+        self.thread = threading.Thread(target=self._beats, daemon=True)
+        self.thread.start()
+
+    def _mark(self) -> bytes:
+        return json.dumps({"name": self.name, "pid": os.getpid(), "beat": time.time()}).encode()
+
+    def _beats(self) -> None:
+        while not self.stopped.wait(self.stale / 6):
+            self.beat()
 
     def beat(self) -> None:
-        with open(f"{self.path}.tmp", "w", encoding="utf-8") as f:
-            json.dump({"pid": os.getpid(), "beat": time.time()}, f)
-        os.replace(f"{self.path}.tmp", self.path)
+        if self._held().get("name") == self.name:
+            storage.write_bytes(self.spark, self.path, self._mark())
 
     def release(self) -> None:
-        if os.path.exists(self.path):
-            os.remove(self.path)
+        self.stopped.set()
+        if self.thread is not None:
+            self.thread.join()
+            self.thread = None
+        if self._held().get("name") == self.name:
+            storage.delete(self.spark, self.path)
 
 
 class Watcher:
     """Keep an index in step with its sources. A failed rebuild leaves the published index and is tried again."""
 
-    def __init__(self, spark: SparkSession, config: IndexConfig, output: str, encoder=None, cache_dir: str = "", interval: float = 5.0):
+    def __init__(self, spark: SparkSession, config: IndexConfig, output: str, encoder=None, cache_dir: str = "", interval: float = 5.0, stale: float = STALE_SECONDS):
         if interval <= 0:
             raise ValueError("the interval must be positive")
         self.spark, self.config, self.output, self.encoder, self.interval = spark, config, output, encoder, interval
-        self.cache_dir = cache_dir or os.path.join(output, ".embcache")
-        self.lock, self.seen, self.failed = WatchLock(output), None, None
+        self.cache_dir = cache_dir or f"{output}/.embcache"
+        self.lock, self.seen, self.failed = WatchLock(spark, output, stale), None, None
         self.stopped = threading.Event()
 
     def start(self) -> None:
         self.lock.acquire()
-        clean_stale(self.output)
+        clean_stale(self.spark, self.output)
         self.tick()
 
     def _listing(self) -> list[tuple]:
@@ -100,7 +123,6 @@ class Watcher:
 
     def tick(self) -> bool:
         """Rebuild if something changed; whether it did."""
-        self.lock.beat()
         now = self._listing()
         if now == self.seen:
             return False
@@ -135,12 +157,17 @@ def watch_stream(spark: SparkSession, config: IndexConfig, source_no: int, check
 
 
 class LiveEngine:
-    """Searches the current snapshot; a newer one is taken up at the next search after ``interval`` seconds."""
+    """Searches the current snapshot; a newer one is taken up at the next search after ``interval`` seconds.
+
+    Searches run side by side: the lock is held only while an engine is taken or given back. One that was replaced is
+    closed when its last search is done.
+    """
 
     def __init__(self, spark: SparkSession, path: str, interval: float = 5.0, encoder=None):
         self.spark, self.path, self.interval, self.encoder = spark, path, interval, encoder
         self.lock, self.closed = threading.RLock(), False
         self.engine, self.checked = Engine(load_index(spark, path, encoder)), time.monotonic()
+        self.busy: dict[int, list] = {}  # engines with searches under way: [engine, how many]
 
     def refresh(self, force: bool = False) -> bool:
         """Take up a newer snapshot; a pointer that is missing for a moment is tried again later."""
@@ -149,34 +176,46 @@ class LiveEngine:
                 return False
             self.checked = time.monotonic()
             try:
-                if current(self.path) == self.engine.index.path:
+                if current(self.spark, self.path) == self.engine.index.path:
                     return False
                 new = Engine(load_index(self.spark, self.path, self.encoder))
             except OSError:
                 return False
-            self.engine.close()
-            self.engine = new
+            old, self.engine = self.engine, new
+            if id(old) not in self.busy:
+                old.close()
             return True
 
-    def search(self, options: SearchOptions) -> list[dict]:
+    def _with(self, ask):
         with self.lock:
             if self.closed:
                 raise RuntimeError("the engine is closed")
             self.refresh()
-            return self.engine.search(options)
+            engine = self.engine
+            self.busy.setdefault(id(engine), [engine, 0])[1] += 1
+        try:
+            return ask(engine)
+        finally:
+            with self.lock:
+                entry = self.busy[id(engine)]
+                entry[1] -= 1
+                if not entry[1]:
+                    del self.busy[id(engine)]
+                    if self.closed or engine is not self.engine:
+                        engine.close()
+
+    def search(self, options: SearchOptions) -> list[dict]:
+        return self._with(lambda engine: engine.search(options))
 
     def fast_search(self, text: str, k: int = 10) -> list[dict]:
-        with self.lock:
-            if self.closed:
-                raise RuntimeError("the engine is closed")
-            self.refresh()
-            return self.engine.fast_search(text, k)
+        return self._with(lambda engine: engine.fast_search(text, k))
 
     def close(self) -> None:
         with self.lock:
             if not self.closed:
-                self.engine.close()
                 self.closed = True
+                if id(self.engine) not in self.busy:
+                    self.engine.close()
 
 
 class Registry:

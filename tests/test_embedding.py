@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltwork.operators.embedding import BertEncoder, HashEncoder, WordPiece, _erf_series, load_cache, read_safetensors, read_vocabulary, save_cache
+from siltwork.operators.embedding import BertEncoder, HashEncoder, WordPiece, _erf, load_cache, read_safetensors, read_vocabulary, save_cache
 from siltwork.operators.index import build_index, load_index
 from siltwork.schema import LONGTEXT, CorpusSchema, Field
 
@@ -72,7 +72,7 @@ def test_forward_pass(model):
     for got, ids in zip(batch, ([1, 4, 2], [1, 4, 5, 2], [1, 2])):
         assert np.allclose(got, slow(t, ids), atol=1e-4)
     assert model.config() == {"vocab": V, "hidden": H, "layers": L, "heads": 8, "ffn": FFN, "positions": P, "types": TV}
-    assert model.forward([]).shape == (0, H) and abs(_erf_series(np.array([0.3]))[0] - math.erf(0.3)) < 1e-6
+    assert model.forward([]).shape == (0, H) and abs(_erf(np.array([0.3]))[0] - math.erf(0.3)) < 1e-6
 
 
 def test_word_pieces(tmp_path, model):
