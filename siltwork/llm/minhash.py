@@ -8,9 +8,12 @@
 5. Survivors are verified by the exact Jaccard similarity of their shingle sets.
 6. Verified pairs are joined into groups; the least id of a group is kept.
 
-Buckets aren't capped. Each member is first compared with the least member it meets; then every pair of a bucket whose
-members aren't in one group yet is compared. A pair that is left out was in one group already, so the groups are those
-of all candidate pairs, at a cost that is linear for buckets of true copies.
+Buckets aren't capped, and none is collected. Each member is first compared with the least member of its buckets. In
+buckets whose members aren't in one group by then, two members are compared if they are in different groups, could be as
+similar as the threshold by their sizes, and share a shingle among the rarest of each, as many as two such sets can't
+all differ in (the prefix filter of set similarity joins, by how many of these documents have a shingle). None of these
+conditions loses a pair that reaches the threshold or changes the groups. Documents of a bucket that have little in
+common but what all of them share are told apart by their rarest shingles, without comparing each with each.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, gram_hashes, mix, word_hashes
@@ -120,14 +123,14 @@ def _pruner(least: dict[int, int]):
 
 def _verifier(threshold: float):
     def verify(batches):
-        last: tuple[int, np.ndarray] | None = None
+        last: tuple[int, np.ndarray] | None = None  # pairs come joined by b: a hub's are together
         for batch in batches:
             a, b, ta, tb = (batch.column(k).to_pylist() for k in ("a", "b", "text_a", "text_b"))
             keep = []
             for i in range(len(a)):
-                if last is None or last[0] != a[i]:
-                    last = (a[i], shingles(ta[i]))
-                if jaccard(last[1], shingles(tb[i])) >= threshold:
+                if last is None or last[0] != b[i]:
+                    last = (b[i], shingles(tb[i]))
+                if jaccard(last[1], shingles(ta[i])) >= threshold:
                     keep.append(i)
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
@@ -140,38 +143,45 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts without a word (null, empty, only signs) are nobody's copy and keep themselves. A text of fewer words than a
     shingle is one shingle. Rows that share an id are one document: the row whose text has the least hash stands for
-    it. Ties don't matter: groups are sets, and the least id is kept. Null ids are left out. Empty in, empty out.
+    it. Ties don't matter: groups are sets, and the least id is kept. Ids are integers, or
+    are cast to such. Null ids are left out. Empty in, empty out.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id IS NOT NULL")
     rows = rows.select("id", F.xxhash64("text").alias("th"), "text")
     sigs = cut(rows.mapInArrow(_signatures, "id bigint, th bigint, n bigint, s1 bigint, s2 bigint, sig binary, bands array<bigint>"), "signatures")
     repeated = not sigs.groupBy("id").count().where("count > 1").isEmpty()
     if repeated:
-        from pyspark.sql import Window
-
         first = F.row_number().over(Window.partitionBy("id").orderBy("th"))
         sigs = cut(sigs.withColumn("__n", first).where("__n = 1").drop("__n"), "signatures-one")
 
-    same = sigs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "th")).alias("rep"), F.collect_list("id").alias("ids"))
-    same = cut(same.select(F.col("rep.id").alias("rep"), "ids"), "same-sets")
-    twins = same.where("size(ids) > 1").select(F.explode("ids").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    key = ["n", "s1", "s2"]
+    same = cut(sigs.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("c")), "same-sets")
+    twins = sigs.join(same.where("c > 1"), key).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     reps = sigs.join(same.select(F.col("rep").alias("id")), "id", "left_semi")
 
-    buckets = reps.select("id", F.explode("bands").alias("bh")).groupBy("bh").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1")
-    buckets = cut(buckets, "buckets")
-    members = cut(buckets.select(F.explode("ids").alias("id")).distinct(), "members")
+    least, fits = least_matches(threshold, miss), _fits(threshold)
+    placed = reps.select("id", "n", F.explode("bands").alias("bh"))
+    hubs = placed.groupBy("bh").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    shared = cut(placed.join(hubs.select("bh", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "bh"), "buckets")
+    members = cut(shared.select("id").distinct(), "members")
     some = cut(reps.join(members, "id", "left_semi").select("id", "th", "sig"), "member-signatures")
     text = rows.join(some.select("id", "th").hint("shuffle_hash"), ["id", "th"], "left_semi").select("id", "text")
     text = cut(text.dropDuplicates(["id"]) if repeated else text, "member-texts")
 
-    least = least_matches(threshold, miss)
-    star = buckets.select("ids", F.array_min("ids").alias("b")).select(F.explode("ids").alias("a"), "b").where("a <> b").groupBy("a").agg(F.min("b").alias("b"))
+    star = shared.where("id <> hub").where(fits("n", "hub_n")).groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("b"))
     edges = _verified(star, some, text, least, threshold, "star")
     roots = cut(components(edges, "star"), "star-roots")
-    placed = buckets.select("bh", F.explode("ids").alias("node")).join(roots, "node", "left").select("bh", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("bh").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("root", "node")).alias("ids")).where("lo <> hi")
-    pairs = mixed.select(F.explode("ids").alias("x"), "ids").select("x", F.explode(F.filter("ids", lambda y: y["root"] > F.col("x.root"))).alias("y"))
-    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    rooted = shared.select("bh", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("bh", "id", "n", F.coalesce("root", "id").alias("root"))
+    rooted = cut(rooted, "rooted")
+    mixed = rooted.groupBy("bh").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bh")
+    mixed = cut(rooted.join(mixed, "bh", "left_semi"), "mixed-buckets")
+    rare = _rarest(mixed.select("id").distinct(), text, threshold)
+    meeting = cut(mixed.join(rare, "id"), "meetings")
+    apart = meeting.groupBy("bh", "gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bh", "gram")
+    meeting = cut(meeting.join(apart, ["bh", "gram"], "left_semi"), "mixed-meetings")
+    x, y = (meeting.select("bh", "gram", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "root"))) for k in "xy")
+    pairs = x.join(y, ["bh", "gram"]).where("root_x < root_y").where(fits("n_x", "n_y"))
+    pairs = pairs.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
     more = _verified(pairs, some, text, least, threshold, "rest")
 
     root = components(edges.unionByName(more).unionByName(twins), "near")
@@ -180,6 +190,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.join(sizes, "keeper_id").select(F.col("id").alias("doc_id"), "keeper_id", "group_size", (F.col("id") == F.col("keeper_id")).alias("is_kept"))
 
 
+def _fits(threshold: float):
+    """Two sets of these sizes can have the threshold's similarity."""
+    return lambda m, n: F.least(m, n) >= F.lit(threshold - 1e-9) * F.greatest(m, n)
+
+
+def _rarest(ids: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
+    """(id, gram): the rarest shingles of the documents ``ids``, so many that two similar sets can't miss each other, less those that
+    only one of the documents has."""
+
+    def sets(batches):
+        for batch in batches:
+            got = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+            flat = np.concatenate(got) if got else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "grams"])
+
+    grams = cut(text.join(ids, "id", "left_semi").mapInArrow(sets, "id bigint, grams array<bigint>"), "rest-shingles")
+    each = grams.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles of a single document come first in the order, and meet nothing: only their number counts.
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
+    held = each.join(often, "gram").withColumn("k", nth).withColumn("more", F.count("*").over(Window.partitionBy("id")))
+    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    return held.where(F.col("k") + F.col("n") - F.col("more") <= prefix).select("id", "gram")
+
+
 def _verified(pairs: DataFrame, sigs: DataFrame, text: DataFrame, least: dict[int, int], threshold: float, what: str) -> DataFrame:
     """The pairs (a, b) that survive the sequential comparison and have at least the threshold's exact similarity."""
     pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
