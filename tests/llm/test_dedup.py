@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -98,6 +99,38 @@ def test_near_hot_group(spark):
     assert {x.keeper_id for x in got} == {0, 5000} and {x.group_size for x in got} == {2300, 1}
 
 
+def test_near_brute_around_the_threshold(spark):
+    """Documents with much in common, on both sides of the threshold: no link between different texts is lost or made."""
+    r = random.Random(6)
+    rows = []
+    for g in range(6):
+        base = prose(500 + g, 60).split()
+        for _ in range(12):
+            words = list(base)
+            for _ in range(r.randrange(7)):
+                words[r.randrange(len(words))] = f"new{r.random()}"
+            rows.append((len(rows), " ".join(words)))
+    sets = {i: minhash.shingles(t) for i, t in rows}
+    got = {x.doc_id: x.keeper_id for x in minhash.near_groups(texts(spark, rows)).collect()}
+    close = [(i, j) for i, _ in rows for j in range(i) if minhash.jaccard(sets[i], sets[j]) >= minhash.THRESHOLD]
+    assert len(close) > 60 and sum(got[i] == got[j] for i, j in close) >= 0.98 * len(close)
+    want = brute_near(rows, minhash.THRESHOLD)
+    assert all(want[i] == want[got[i]] for i, _ in rows)
+
+
+def test_hot_bucket_of_unlike_documents(spark, monkeypatch):
+    """Documents that share a bucket and little else are told apart by their rarest shingles, not pair by pair."""
+    asked = []
+    real = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *a: (asked.append(pairs.count()), real(pairs, *a))[1])
+    monkeypatch.setattr(minhash, "_SALT", minhash._SALT * 0)
+    # Half of each text is the same; with all bands' keys made of few hashes, many documents meet.
+    common = prose(900, 40)
+    rows = [(i, f"{common} {prose(10_000 + i, 40)}") for i in range(600)] + [(700 + i, f"{common} {prose(10_000 + i, 40)} end") for i in range(5)]
+    got = {x.doc_id: x.keeper_id for x in minhash.near_groups(texts(spark, rows)).collect()}
+    assert got == brute_near(rows, minhash.THRESHOLD) and sum(asked) < 10 * len(rows)
+
+
 def test_near_odd(spark):
     got = {r.doc_id: (r.keeper_id, r.group_size) for r in minhash.near_groups(odd(spark)).collect()}
     assert got[1] == got[2] == got[8] == (0, 4) and all(got[i] == (i, 1) for i in (3, 4, 5, 6, 7, 9, 10, 11)) and len(got) == 12
@@ -151,12 +184,39 @@ def brute_repeats(docs, least):
     return out
 
 
-def spelled(rows):
-    return {(x.n_words, tuple(sorted((o.doc_id, o.word_start + k * o.step) for o in x.occurrences for k in range(o.times)))) for x in rows}
+def spelled(rows, docs):
+    """The repeats as (length, occurrences), with their counts checked; a text's least id stands for its copies in parts of it."""
+    by_repeat, copies, known = defaultdict(list), defaultdict(list), {}
+    for d, w in docs.items():
+        copies[tuple(w)].append(d)
+    for x in rows:
+        by_repeat[x.repeat_id].append(x)
+
+    def occurrences(repeat):
+        """Those of its rows, and those of the longer repeats that they name."""
+        if repeat not in known:
+            occ = set()
+            for x in by_repeat[repeat]:
+                w = docs[x.doc_id]
+                assert x.n_words == len(w) or x.doc_id == min(copies[tuple(w)])
+                occ |= {(d, x.word_start) for d in ([x.doc_id] if x.n_words == len(w) else copies[tuple(w)])}
+                if x.longer_id is not None:
+                    assert by_repeat[x.longer_id][0].n_words > x.n_words and (x.doc_id, x.word_start) in occurrences(x.longer_id)
+                    occ |= occurrences(x.longer_id)
+            known[repeat] = occ
+        return known[repeat]
+
+    out = set()
+    for repeat, several in by_repeat.items():
+        occ = occurrences(repeat)
+        assert len(several) > 1 and len(occ) == several[0].n_occurrences and len({d for d, _ in occ}) == several[0].n_documents
+        assert len({(x.n_words, x.n_occurrences, x.n_documents) for x in several}) == 1
+        out.add((several[0].n_words, tuple(sorted(occ))))
+    assert len(out) == len(by_repeat)
+    return out
 
 
-@pytest.mark.parametrize("seed,least,gram", [(0, 4, 2), (1, 6, 3), (2, 5, 5)])
-def test_repeats_brute(spark, seed, least, gram):
+def some_docs(seed):
     r = random.Random(seed)
     base = [[r.choice("abcd") for _ in range(r.randint(5, 30))] for _ in range(4)]
     docs = {}
@@ -169,31 +229,65 @@ def test_repeats_brute(spark, seed, least, gram):
             w += x[r.randint(0, 5) :]
         docs[d] = w
     docs |= {d: docs[d - 25] for d in range(25, 31)}  # copies
-    docs |= {31: ["z"] * 40, 32: ["z"] * 33 + ["q"], 33: ["z"] * 40, 34: ["x", "y", "z"] * 12, 35: ["y", "z", "x"] * 9 + ["z"] * 20}  # runs
-    got = suffix_dedup.maximal_repeats(texts(spark, [(d, " ".join(w)) for d, w in docs.items()]), least=least, gram=gram, per_task=300).collect()
-    assert spelled(got) == brute_repeats(docs, least) and len(got) == len({x.repeat_id for x in got})
-    assert all(x.n_occurrences == sum(o.times for o in x.occurrences) and x.doc_ids == sorted({o.doc_id for o in x.occurrences}) for x in got)
+    return docs | {31: ["z"] * 40, 32: ["z"] * 33 + ["q"], 33: ["z"] * 40, 34: ["x", "y", "z"] * 12, 35: ["y", "z", "x"] * 9 + ["z"] * 20}  # runs
+
+
+@pytest.mark.parametrize("seed,least,gram,per_task,heavy", [(0, 4, 2, 300, 20_000), (1, 6, 3, 40, 20_000), (2, 5, 5, 300, 5), (3, 4, 3, 100, 2), (4, 6, 2, 20_000, 1)])
+def test_repeats_brute(spark, monkeypatch, seed, least, gram, per_task, heavy):
+    """However the work is divided, and however many groups are heavy: the same repeats."""
+    monkeypatch.setattr(suffix_dedup, "STRIDE", 5)
+    monkeypatch.setattr(suffix_dedup, "MANY", 1 if heavy < 3 else 50)
+    monkeypatch.setattr(suffix_dedup, "COPIES", 1)
+    docs = some_docs(seed)
+    got = suffix_dedup.maximal_repeats(texts(spark, [(d, " ".join(w)) for d, w in docs.items()]), least=least, gram=gram, per_task=per_task, heavy=heavy).collect()
+    assert spelled(got, docs) == brute_repeats(docs, least)
 
 
 def test_repeats_passage_and_odd(spark):
     passage = prose(100, 55)
     rows = [(i, f"{prose(i, 20)} {passage.upper()}, {prose(50 + i, 30)}") for i in range(5)] + [(9, prose(9, 300))]
-    got = suffix_dedup.maximal_repeats(texts(spark, rows)).collect()
-    assert len(got) == 1 and got[0].doc_ids == [0, 1, 2, 3, 4] and got[0].n_words == 55
+    for heavy in (20_000, 2):
+        got = suffix_dedup.maximal_repeats(texts(spark, rows), heavy=heavy).collect()
+        assert [(x.doc_id, x.n_words, x.word_start) for x in sorted(got)] == [(i, 55, 20) for i in range(5)] and len({x.repeat_id for x in got}) == 1
     found = suffix_dedup.maximal_repeats(odd(spark)).collect()
-    assert [(x.n_words, x.doc_ids) for x in found] == [(120, [0, 1, 2, 8])]
+    assert sorted((x.n_words, x.n_documents, x.doc_id) for x in found) == [(120, 4, i) for i in (0, 1, 2, 8)]
     assert suffix_dedup.maximal_repeats(empty(spark)).collect() == []
 
 
+def test_repeats_without_blanks(spark):
+    """Scripts that have no blanks are compared by letters, and their punctuation isn't part of words."""
+    r = random.Random(8)
+    letters = [chr(0x4E00 + r.randrange(3000)) for _ in range(400)]
+    a, b = "".join(letters[:60]) + "。" + "".join(letters[60:120]), "".join(letters[200:230] + letters[10:110]) + "、" + "".join(letters[230:260])
+    got = suffix_dedup.maximal_repeats(texts(spark, [(1, a), (2, b)])).collect()
+    assert sorted((x.doc_id, x.word_start, x.n_words) for x in got) == [(1, 10, 100), (2, 30, 100)]
+    assert len(minhash.shingles(a)) == 118
+
+
 def test_long_run_is_linear(spark):
-    """A word repeated 20,000 times has as many maximal repeats, each a single progression."""
+    """A word repeated 20,000 times has as many maximal repeats, and two rows for each."""
     got = suffix_dedup.maximal_repeats(texts(spark, [(1, "spam " * 20_000)]))
-    n, most = got.selectExpr("count(*)", "max(size(occurrences))").first()
-    assert (n, most) == (20_000 - 50, 1)
+    assert tuple(got.selectExpr("count(*)", "count(DISTINCT repeat_id)", "max(n_occurrences)").first()) == (2 * (20_000 - 50), 20_000 - 50, 20_000 - 49)
+
+
+def test_runs_in_many_documents_cost_what_they_report():
+    """The steps of a scan, and its rows, follow the suffixes, for any number of documents, also where each has several runs."""
+
+    def scan(n_docs, gap):
+        docs = {d: ["a"] * 300 + (["b", str(d)] + ["a"] * 290) * gap for d in range(n_docs)}
+        flat = sorted((w[i:], i and hash(w[i - 1]), d, i) for d, w in docs.items() for i in range(0, len(w), 1 + gap))
+        lcp = [0] + [next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y))) for (x, *_), (y, *_) in zip(flat, flat[1:])]
+        began, rows = time.process_time(), 0
+        for _, _, leaves, longer, _ in suffix_dedup.intervals(lcp, [f[1] for f in flat], [f[2] for f in flat], [f[3] for f in flat], 50, lambda i, n: (i, n)):
+            rows += len(leaves) + len(longer)
+        assert rows <= 2 * len(flat)
+        return (time.process_time() - began) / len(flat)
+
+    for gap in (0, 1):
+        assert scan(70, gap) < 4 * scan(20, gap) + 1e-6
 
 
-def test_progressions_and_winnowing():
-    assert suffix_dedup.progressions([1, 4, 7, 8, 20]) == [(1, 3, 3), (8, 12, 2)]
+def test_winnowing():
     h = np.arange(200, dtype=np.uint64)
     at, _ = suffix_dedup.picked(h, 20, 5)
     assert np.diff(at).max() <= 16 and at[0] < 16  # no window goes without
