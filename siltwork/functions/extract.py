@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -85,8 +86,25 @@ def to_tags(value) -> list[str] | None:
 
 
 def json_path(column: Column, path: str) -> Column:
-    """A static dot path into a JSON column, by Spark's own parser: stays in the JVM."""
-    return F.get_json_object(column, "$." + path)
+    """A static dot path into a JSON column, by Spark's own parser: stays in the JVM.
+
+    A part that is a number is looked up as a list's place or as a map's key, as the value has it. Null if there is nothing.
+    """
+    ways = [""]
+    if not path:
+        return F.lit(None).cast("string")
+    for part in path.split("."):
+        steps = re.findall(r"^[^\[\]]+|\[\d+\]", part)
+        if not part or "".join(steps) != part:
+            return F.lit(None).cast("string")
+        for step in steps:
+            if step.startswith("["):
+                ways = [w + step for w in ways]
+            elif step.isdigit():
+                ways = [w + x for w in ways for x in (f"['{step}']", f"[{int(step)}]")]
+            else:
+                ways = [f"{w}['{step}']" for w in ways]
+    return F.coalesce(*[F.get_json_object(column, "$" + w) for w in ways])
 
 
 def split_words(column: Column) -> Column:

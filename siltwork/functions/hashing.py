@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -31,14 +29,6 @@ def _fnv32(data: bytes, h: int = 0x811C9DC5) -> int:
     return h
 
 
-@lru_cache(1 << 16)
-def _word(word: str) -> tuple[bytes, int, int]:
-    """A word's bytes, its bucket, and the hash of it and a blank, from which the hash of a pair goes on."""
-    raw = word.encode()
-    h = _fnv32(raw)
-    return raw, h % BUCKETS, _fnv32(b" ", h)
-
-
 def bucket_column(text: Column) -> Column:
     """:func:`bucket` of a text's bytes inside the JVM."""
     code = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(text))), lambda i: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), i, F.lit(1))), 16, 10).cast("bigint"))
@@ -46,27 +36,68 @@ def bucket_column(text: Column) -> Column:
     return F.when(F.octet_length(text) == 0, F.lit(0x811C9DC5 % BUCKETS)).otherwise(folded % BUCKETS).cast("int")
 
 
-def hash_embedding(text: str) -> np.ndarray:
-    """Counts of byte trigrams (1), words of two bytes or more (2) and pairs of words (3) in 512 buckets, at unit length."""
-    out = np.zeros(BUCKETS)
-    low = text.lower()
-    raw = low.encode()
+def _flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a batch, and the number of the text that each belongs to."""
+    raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+    return raw, np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
+def _fold(raw: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """FNV-1a of many runs of bytes at once, going on from ``h``: the k-th step folds the k-th byte of those that have one."""
+    h = h.copy()
+    order = np.argsort(-size, kind="stable")
+    left = size[order]
+    k = 0
+    while len(order) and left[0] > k:
+        order = order[: np.searchsorted(-left, -k)]
+        left = left[: len(order)]
+        h[order] = (h[order] ^ raw[start[order] + k]) * np.uint32(0x01000193)
+        k += 1
+    return h
+
+
+def hash_embeddings(texts: list[str]) -> np.ndarray:
+    """For each text the counts of byte trigrams (1), words of two bytes or more (2) and pairs of words (3) in 512 buckets, at unit length."""
+    n = len(texts)
+    low = [t.lower() for t in texts]
+    at: list[np.ndarray] = []
+    weight: list[np.ndarray] = []
+
+    def add(of: np.ndarray, h: np.ndarray, w: float) -> None:
+        at.append(of * BUCKETS + h % BUCKETS)
+        weight.append(np.full(len(of), w))
+
+    raw, of = _flat([t.encode("utf-8", "replace") for t in low])
     if len(raw) > 2:
-        r = np.frombuffer(raw, np.uint8).astype(np.uint32)
-        h = np.full(len(r) - 2, 0x811C9DC5, np.uint32)
+        h = np.full(len(raw) - 2, 0x811C9DC5, np.uint32)
         for k in range(3):
-            h = (h ^ r[k : len(r) - 2 + k]) * np.uint32(0x01000193)
-        out += np.bincount(h % BUCKETS, minlength=BUCKETS)
-    words = [_word(w) for w in low.split()]
-    out += 2.0 * np.bincount([at for w, at, _ in words if len(w) >= 2] or np.empty(0, int), minlength=BUCKETS)
-    out += 3.0 * np.bincount([_fnv32(b[0], a[2]) % BUCKETS for a, b in zip(words, words[1:])] or np.empty(0, int), minlength=BUCKETS)
-    norm = np.sqrt((out * out).sum())
-    return (out / norm if norm else out).astype(np.float32)
+            h = (h ^ raw[k : len(raw) - 2 + k]) * np.uint32(0x01000193)
+        whole = of[2:] == of[:-2]
+        add(of[:-2][whole], h[whole], 1.0)
+    # A blank after each word, so that no word runs into the next text.
+    raw, of = _flat([" ".join([*t.split(), ""]).encode("utf-8", "replace") for t in low])
+    end = np.flatnonzero(raw == 32)
+    start = np.concatenate([[0], end[:-1] + 1]).astype(np.int64) if len(end) else end
+    size, word_of = end - start, of[end]
+    h = _fold(raw, start, size, np.full(len(end), 0x811C9DC5, np.uint32))
+    add(word_of[size >= 2], h[size >= 2], 2.0)
+    pair = np.flatnonzero(word_of[1:] == word_of[:-1])
+    add(word_of[pair], _fold(raw, start[pair + 1], size[pair + 1], (h[pair] ^ np.uint32(32)) * np.uint32(0x01000193)), 3.0)
+    out = np.bincount(np.concatenate(at), np.concatenate(weight), minlength=n * BUCKETS).reshape(n, BUCKETS)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+
+def hash_embedding(text: str) -> np.ndarray:
+    return hash_embeddings([text])[0]
 
 
 def hash_embed(text: Column) -> Column:
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hash_embedding(t or "").tolist())
+        out = []
+        for lo in range(0, len(texts), 256):
+            out += list(hash_embeddings(texts.iloc[lo : lo + 256].fillna("").tolist()))
+        return pd.Series(out, dtype=object)
 
     return embed(text)

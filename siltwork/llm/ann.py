@@ -1,15 +1,17 @@
 """Approximate nearest neighbours: a hierarchical k-means tree with best-bin-first search.
 
 The tree is grown level by level: the vectors of a node are split by k-means (Lloyd's iterations over all vectors, summed
-in the partitions) into ``BRANCH`` children, until leaves hold about ``LEAF`` vectors. A query goes down the tree by a
-priority queue of nodes, nearest centroid first, and visits leaves in the order in which they leave the queue.
+in the partitions) into up to ``BRANCH`` children, until leaves hold about ``LEAF`` vectors. A query goes down the tree by
+a priority queue of nodes, nearest centroid first, and visits leaves in the order in which they leave the queue.
 
 How many leaves are visited is calibrated: for a sample of queries the exact neighbours are found among all vectors, and
-the number of leaves is doubled, then refined, until the sample's recall reaches the target. Every vector is then a
-query. Visits are shuffled to the leaves' parents, where queries and members meet in matrix products.
+the visits are doubled, then refined, until the sample's recall reaches the target. Visits are shuffled to the leaves'
+parents, where queries and members meet in matrix products.
 
-What is broadcast is the tree. Its size is bounded: it has at most ``MAX_LEAVES`` leaves; with more vectors leaves are
-larger. A parent whose queries would be too many for a task is met by them in several parts.
+Of equal vectors only the k + 1 with the least ids can be among anyone's k nearest, so no more are held as members, and
+equal queries are asked once. A parent with many members, or many visits, is met in several parts: each member is in one
+part for each share of the visits. What is broadcast is the tree, of at most ``TREE_BYTES``: with more vectors than fill so
+many leaves, leaves are larger, which changes the cost, not what is found.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BRANCH, LEAF, MAX_LEAVES, ITERATIONS = 16, 256, 65_536, 4
-K, RECALL, CALIBRATION, PART = 10, 0.95, 256, 100_000
+BRANCH, LEAF, TREE_BYTES, ITERATIONS = 16, 256, 64 << 20, 4
+K, RECALL, CALIBRATION, PART = 10, 0.95, 256, 20_000
 
 
 class Tree:
@@ -69,27 +71,37 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float32).reshape(-1, dim)
 
 
-def _lists(x: np.ndarray) -> pa.Array:
+def _lists(x: np.ndarray, kind=np.float32) -> pa.Array:
     n, dim = x.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)), pa.array(np.ascontiguousarray(x, np.float32).ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)), pa.array(np.ascontiguousarray(x, kind).ravel()))
 
 
-def clean(embeddings: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(id, vec) of the rows that can be compared, one for each id, and their dimension (0 if there is none)."""
+def clean(embeddings: DataFrame, id_col: str, vector_col: str, dim: int = 0) -> tuple[DataFrame, int]:
+    """(id, vec) of the rows that can be compared, one for each id, and their dimension, the usual one if none is given (0: no row)."""
     vec = F.col(vector_col).cast("array<float>")
     rows = embeddings.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec"))
     good = F.col("id").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(good).groupBy("id").agg(F.min("vec").alias("vec"))
-    usual = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = usual["d"] if usual else 0
+    rows = cut(rows.where(good), "vectors")
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        rows = cut(rows.groupBy("id").agg(F.min("vec").alias("vec")), "vectors-once")
+    if not dim:
+        usual = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        dim = usual["d"] if usual else 0
     return rows.where(F.size("vec") == dim), dim
 
 
-def grow(vectors: DataFrame, n: int, dim: int, branch: int = BRANCH, leaf: int = LEAF, iterations: int = ITERATIONS, max_leaves: int = MAX_LEAVES) -> Tree:
-    """The tree over all of ``vectors``; each pass brings one row per node to the driver."""
+def shape(n: int, dim: int, branch: int, leaf: int, tree_bytes: int) -> tuple[int, int]:
+    """(depth, children of a node): as many leaves as hold ``leaf`` of n vectors each, within the tree's bytes."""
+    leaves = max(2, min(math.ceil(n / leaf), tree_bytes // (8 * dim)))
+    depth = max(1, math.ceil(math.log(leaves) / math.log(branch) - 1e-9))
+    return depth, min(branch, max(2, math.ceil(leaves ** (1 / depth) - 1e-9)))
+
+
+def grow(vectors: DataFrame, n: int, dim: int, branch: int = BRANCH, leaf: int = LEAF, iterations: int = ITERATIONS, tree_bytes: int = TREE_BYTES) -> Tree:
+    """The tree over all of ``vectors``; each pass brings one row per node to the driver, in columns."""
     spark = vectors.sparkSession
+    depth, branch = shape(n, dim, branch, leaf, tree_bytes)
     tree = Tree(dim, branch)
-    depth = max(1, math.ceil(math.log(max(2, min(n / leaf, max_leaves)), branch)))
     for level in range(depth):
         shared = spark.sparkContext.broadcast(tree)
 
@@ -102,20 +114,19 @@ def grow(vectors: DataFrame, n: int, dim: int, branch: int = BRANCH, leaf: int =
                 h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).astype(np.int64)
                 order = np.lexsort((h, node))
                 nth = np.arange(len(order)) - np.searchsorted(node[order], node[order])
-                keep = order[nth < branch * 4]
+                keep = order[nth < branch * 2]
                 yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(h[keep]), b.column(1).take(pa.array(keep))], ["node", "h", "vec"])
 
         seeds = vectors.mapInArrow(first, "node bigint, h bigint, vec array<float>")
         nth = F.row_number().over(Window.partitionBy("node").orderBy("h"))
         c = np.full((branch ** (level + 1), dim), np.nan, np.float32)
-        taken: dict[int, list[np.ndarray]] = {}
-        for node, vec in seeds.withColumn("n", nth).where(F.col("n") <= branch * 4).orderBy("node", "n").select("node", "vec").collect():
-            v = np.asarray(vec, np.float32)
-            mine = taken.setdefault(node, [])
-            if len(mine) < branch and not any(np.array_equal(v, x) for x in mine):
-                mine.append(v)
-        for node, mine in taken.items():
-            c[node * branch : node * branch + len(mine)] = mine
+        got = seeds.withColumn("n", nth).where(F.col("n") <= branch * 2).select("node", "n", "vec").toArrow().sort_by([("node", "ascending"), ("n", "ascending")]).combine_chunks()
+        filled = np.zeros(branch**level, np.int64)
+        for node, v in zip(got.column("node").to_pylist(), _vectors(pa.concat_arrays(got.column("vec").chunks), dim) if len(got) else ()):
+            k, at = filled[node], node * branch
+            if k < branch and not (c[at : at + k] == v).all(axis=1).any():
+                c[at + k] = v
+                filled[node] += 1
         tree.levels.append(c)
         for _ in range(iterations):
             shared = spark.sparkContext.broadcast(tree)
@@ -127,21 +138,25 @@ def grow(vectors: DataFrame, n: int, dim: int, branch: int = BRANCH, leaf: int =
                         continue
                     x = _vectors(b.column(1), dim)
                     at = shared.value.assign(x)
-                    nodes, inv = np.unique(at, return_inverse=True)
-                    total = np.zeros((len(nodes), dim + 1))
-                    np.add.at(total, inv, np.hstack([x, np.ones((len(x), 1))]))
+                    order = np.argsort(at, kind="stable")
+                    nodes, begin = np.unique(at[order], return_index=True)
+                    total = np.add.reduceat(np.hstack([x, np.ones((len(x), 1))])[order].astype(np.float64), begin)
                     for node, row in zip(nodes.tolist(), total):
                         sums[node] = sums[node] + row if node in sums else row
                 if sums:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([r.tolist() for r in sums.values()], pa.list_(pa.float64()))], ["node", "total"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), _lists(np.stack(list(sums.values())), np.float64)], ["node", "total"])
 
             def add(pdf: pd.DataFrame) -> pd.DataFrame:
-                t = np.stack(pdf["total"].to_numpy()).sum(axis=0)
-                return pd.DataFrame({"node": pdf["node"].iloc[:1], "vec": [(t[:-1] / t[-1]).tolist()]})
+                nodes, at = np.unique(pdf["node"].to_numpy(), return_inverse=True)
+                t = np.zeros((len(nodes), dim + 1))
+                np.add.at(t, at, np.stack(pdf["total"].to_numpy()))
+                return pd.DataFrame({"node": nodes, "vec": (t[:, :-1] / t[:, -1:]).astype(np.float32).tolist()})
 
             new = c.copy()
-            for node, vec in vectors.mapInArrow(partial, "node bigint, total array<double>").groupBy("node").applyInPandas(add, "node bigint, vec array<double>").collect():
-                new[node] = vec
+            sums = vectors.mapInArrow(partial, "node bigint, total array<double>")
+            means = sums.groupBy(F.floor(F.col("node") / 256)).applyInPandas(add, "node bigint, vec array<float>").toArrow().combine_chunks()
+            if len(means):
+                new[means.column("node").to_numpy()] = _vectors(pa.concat_arrays(means.column("vec").chunks), dim)
             tree.levels[-1] = c = new
     return tree
 
@@ -191,14 +206,16 @@ def calibrate(vectors: DataFrame, tree: Tree, dim: int, k: int, recall: float, s
     got = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     ids, queries = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.float32).reshape(len(got), dim)
     leaves = int((~np.isnan(tree.levels[-1][:, 0])).sum())
-    order = {q: {leaf: n for n, leaf in enumerate(tree.visits(v, leaves))} for q, v in zip(ids.tolist(), queries)}
     true = exact(vectors, ids, queries, k).select("q", "vec").collect()
     if not true:
         return leaves
-    leaf = tree.assign(np.array([r[1] for r in true], np.float32))
-    rank = np.array([order[r[0]].get(x, leaves) for r, x in zip(true, leaf.tolist())])
+    leaf, asked = tree.assign(np.array([r[1] for r in true], np.float32)), [r[0] for r in true]
     n = 1
-    while n < leaves and (rank < n).mean() < recall:
+    while True:
+        order = {q: {x: i for i, x in enumerate(tree.visits(v, n))} for q, v in zip(ids.tolist(), queries)}
+        rank = np.array([order[q].get(x, leaves) for q, x in zip(asked, leaf.tolist())])
+        if n >= leaves or (rank < n).mean() >= recall:
+            break
         n *= 2
     lo, hi = n // 2, min(n, leaves)
     while hi - lo > 1:
@@ -207,25 +224,27 @@ def calibrate(vectors: DataFrame, tree: Tree, dim: int, k: int, recall: float, s
     return hi
 
 
-def neighbours(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, recall: float = RECALL, branch: int = BRANCH, leaf: int = LEAF, calibration: int = CALIBRATION) -> DataFrame:
-    """``vec_id, neighbour_id, rank, distance``: about the ``k`` nearest others of every vector, by Euclidean distance.
+def neighbours(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries: DataFrame | None = None, k: int = K, recall: float = RECALL, branch: int = BRANCH, leaf: int = LEAF, calibration: int = CALIBRATION, tree_bytes: int = TREE_BYTES, part: int = PART) -> DataFrame:
+    """``vec_id, neighbour_id, rank, distance``: about the ``k`` nearest others of every query, by Euclidean distance.
 
-    Equal distances are ordered by id. Equal vectors with different ids are neighbours at distance 0. Rows that repeat an
-    id are one vector, the least. A vector that is null or empty, has null, NaN or infinite elements, or another dimension
-    than most vectors, is neither query nor neighbour. Fewer than k others give fewer rows. Empty in, empty out.
+    ``queries`` has the columns of ``embeddings``; without it every vector is a query. A vector with the query's id isn't its
+    neighbour. Equal distances are ordered by id. Equal vectors with different ids are neighbours at distance 0. Rows that
+    repeat an id are one vector, the least. A vector that is null or empty, has null, NaN or infinite elements, or another
+    dimension than most vectors, is neither query nor neighbour. Fewer than k others give fewer rows. Ids are integers, or
+    are cast to such; null ids are left out. Empty in, empty out.
     """
     spark = embeddings.sparkSession
-    rows, dim = clean(embeddings, id_col, vector_col)
+    vectors, dim = clean(embeddings, id_col, vector_col)
     out = "vec_id bigint, neighbour_id bigint, rank int, distance double"
     if not dim:
         return spark.createDataFrame([], out)
-    vectors = cut(rows, "vectors")
-    n = vectors.count()
-    tree = grow(vectors, n, dim, branch, leaf)
-    visit = calibrate(vectors, tree, dim, k, recall, calibration)
+    asking = vectors if queries is None else clean(queries, id_col, vector_col, dim)[0]
+    nth = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    members = cut(vectors.withColumn("n", nth).where(F.col("n") <= k + 1).drop("n"), "members")
+    asked = cut(asking.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"), "asked")
+    tree = grow(members, members.count(), dim, branch, leaf, tree_bytes=tree_bytes)
+    visit = calibrate(members, tree, dim, k, recall, calibration)
     shared = spark.sparkContext.broadcast(tree)
-    parents = max(1, len(tree.levels[-2]))
-    parts = max(1, math.ceil(n * visit / parents / PART))
 
     def place(batches):
         t = shared.value
@@ -249,14 +268,32 @@ def neighbours(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str =
                     take.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(parent, pa.int64()), pa.array(q, pa.int64()), pa.array(lists, pa.list_(pa.int64())), b.column(1).take(pa.array(take, pa.int64()))], ["parent", "q", "leaves", "vec"])
 
-    members = vectors.mapInArrow(place, "parent bigint, leaf bigint, id bigint, vec array<float>").select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    visits = vectors.mapInArrow(ask, "parent bigint, q bigint, leaves array<bigint>, vec array<float>").withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"))
+    held = cut(members.mapInArrow(place, "parent bigint, leaf bigint, id bigint, vec array<float>"), "held")
+    visits = cut(asked.mapInArrow(ask, "parent bigint, q bigint, leaves array<bigint>, vec array<float>"), "visits")
+    # One row for each parent, of which the tree has few: into how many parts its members and its visits go.
+    shares = lambda df, name: df.groupBy("parent").agg(F.ceil(F.count("*") / part).alias(name))
+    parts = F.broadcast(shares(held, "m").join(shares(visits, "v"), "parent"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    here = held.join(parts, "parent").select("parent", F.pmod(F.xxhash64("id"), "m").alias("mp"), every("v").alias("vp"), "leaf", "id", "vec")
+    there = visits.join(parts, "parent").select("parent", every("m").alias("mp"), F.pmod(F.xxhash64("q"), "v").alias("vp"), "q", "leaves", "vec")
+    near = there.groupBy("parent", "mp", "vp").cogroup(here.groupBy("parent", "mp", "vp")).applyInPandas(_meet(k + 1), "q bigint, id bigint, d2 double")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy("d2", "id"))
+    best = cut(near.withColumn("n", nth).where(F.col("n") <= k + 1).select("q", "id", "d2"), "nearest")
+    # The answer to a vector is that of every query that is equal to it, less the query itself.
+    same = asking.join(asked.select(F.col("id").alias("q"), "vec"), "vec").select(F.col("id").alias("vec_id"), "q")
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("d2", "id"))
+    found = same.join(best, "q").where("id <> vec_id").withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select("vec_id", F.col("id").alias("neighbour_id"), F.col("rank").cast("int").alias("rank"), F.round(F.sqrt("d2"), 6).alias("distance"))
+
+
+def _meet(k: int):
+    """The k nearest members of the leaves that each query visits, in one part of one parent."""
 
     def meet(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(asked) and len(held):
-            x, ids = np.stack(held["vec"].to_numpy()).astype(np.float32), held["id"].to_numpy()
-            y, q = np.stack(asked["vec"].to_numpy()).astype(np.float32), asked["q"].to_numpy()
+            x, ids = np.stack(held["vec"].to_numpy()).astype(np.float64), held["id"].to_numpy()
+            y, q = np.stack(asked["vec"].to_numpy()).astype(np.float64), asked["q"].to_numpy()
             leaf_of = held["leaf"].to_numpy()
             wants = np.concatenate([np.asarray(v, np.int64) for v in asked["leaves"]])
             who = np.repeat(np.arange(len(q)), asked["leaves"].map(len).to_numpy())
@@ -265,20 +302,16 @@ def neighbours(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str =
                 if not len(m):
                     continue
                 asking = who[wants == one]
-                for lo in range(0, len(asking), 2048):
-                    a = asking[lo : lo + 2048]
-                    d = _distances(y[a].astype(np.float64), x[m].astype(np.float64))
-                    d[q[a][:, None] == ids[m][None, :]] = np.inf
+                step = max(1, (1 << 22) // len(m))
+                for lo in range(0, len(asking), step):
+                    a = asking[lo : lo + step]
+                    d = _distances(y[a], x[m]).round(10)  # so that equal vectors tie, in whatever order they are multiplied
                     best = _nearest(d, ids[m], min(k, len(m)))
                     r = np.repeat(np.arange(len(a)), best.shape[1])
                     found.append(pd.DataFrame({"q": q[a][r], "id": ids[m][best.ravel()], "d2": d[r, best.ravel()]}))
         if not found:
             return pd.DataFrame({"q": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "d2": pd.Series([], dtype="float64")})
-        got = pd.concat(found)
-        got = got[np.isfinite(got["d2"])].sort_values(["q", "d2", "id"])
+        got = pd.concat(found).sort_values(["q", "d2", "id"])
         return got[got.groupby("q").cumcount() < k]
 
-    near = visits.groupBy("parent", "part").cogroup(members.groupBy("parent", "part")).applyInPandas(meet, "q bigint, id bigint, d2 double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "id"))
-    best = near.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select(F.col("q").alias("vec_id"), F.col("id").alias("neighbour_id"), F.col("rank").cast("int").alias("rank"), F.round(F.sqrt("d2"), 6).alias("distance"))
+    return meet

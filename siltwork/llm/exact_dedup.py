@@ -16,21 +16,22 @@ from pyspark.sql import functions as F
 
 from .common import cut, numbered
 
-BLOCK = 1024
+BLOCK, FAN = 1024, 64
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
-    """One row per block: the document (id and hashes of its text), the block's number, hash and text."""
-    text = F.col("__text")
-    last = F.greatest(F.lit(0), F.floor((F.length(text) - 1) / block).cast("int"))
-    return (
-        docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-        .where(F.col("__id").isNotNull() & F.col("__text").isNotNull())
-        .select("__id", F.xxhash64("__text").alias("__h1"), F.hash("__text").alias("__h2"), "__text", F.explode(F.sequence(F.lit(0), last)).alias("__pos"))
-        .withColumn("__block", F.substring(text, F.col("__pos") * block + 1, F.lit(block)))
-        .drop("__text")
-        .withColumn("__bh", F.xxhash64("__block"))
-    )
+    """One row per block: the document (id and hashes of its text), the block's number, hash and text.
+
+    A place in a text is found by walking there from its beginning, so a text is first cut into large pieces, those into
+    smaller ones, and those into blocks: the steps are few times the text's length, also if it is very long.
+    """
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__block")).where(F.col("__id").isNotNull() & F.col("__block").isNotNull())
+    rows = rows.select("__id", F.xxhash64("__block").alias("__h1"), F.hash("__block").alias("__h2"), F.lit(0).alias("__pos"), "__block")
+    for size in (FAN * FAN * block, FAN * block, block):
+        last = F.greatest(F.lit(0), F.floor((F.length("__block") - 1) / size).cast("int"))
+        rows = rows.select("__id", "__h1", "__h2", "__pos", "__block", F.explode(F.sequence(F.lit(0), last)).alias("__k"))
+        rows = rows.select("__id", "__h1", "__h2", (F.col("__pos") + F.col("__k") * (size // block)).alias("__pos"), F.substring("__block", F.col("__k") * size + 1, F.lit(size)).alias("__block"))
+    return rows.withColumn("__bh", F.xxhash64("__block"))
 
 
 def _name_blocks(blocks: DataFrame) -> DataFrame:

@@ -11,22 +11,40 @@ The model is fitted on at most ``max_train`` labelled rows, the first by a hash
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix, powers
+
 MAX_TRAIN, MAX_GRAM, PENALTY, LEAST_WORD, LEAST_GRAM = 4_000, 5, 7.0, 2, 3
-_WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+_SIGNS = r"[^\pL\pM]+"
+
+
+def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, each word's place among them, how many words each text has): runs of letters, in lower case."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    lists = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), _SIGNS, " "), " "), " ")
+    coded = lists.flatten().dictionary_encode()
+    # A text without a word is split into one empty string.
+    none = pc.index(coded.dictionary, pa.scalar("", pa.large_string())).as_py()
+    index, size = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    if none >= 0:
+        keep = index != none
+        size = np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size))
+        index = index[keep]
+    return coded.dictionary.to_pylist(), index, size
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    distinct, index, _ = split(pa.array([text]))
+    return [distinct[i] for i in index]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -34,6 +52,19 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def _codes(strings: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(strings).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+
+
+def _hashes(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the n characters from each place."""
+    up, _ = powers(n)
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out += mix(codes[at + k] + np.uint64(1)) * up[k]
+    return mix(out)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -41,8 +72,6 @@ class Model:
     gram: dict[str, np.ndarray]
     max_gram: int = MAX_GRAM
     penalty: float = PENALTY
-    rows: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray | None = None
 
     def word_score(self, word: str) -> np.ndarray:
         """The scores of one word in each language."""
@@ -55,31 +84,71 @@ class Model:
                 return np.mean(found, axis=0)
         return np.full(len(self.languages), self.penalty)
 
+    @cached_property
+    def tables(self) -> tuple[dict[str, int], np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """Words' rows, their scores, and by length the grams' sorted hashes and scores."""
+        by_size: dict[int, list[str]] = {}
+        for g in self.gram:
+            by_size.setdefault(len(g), []).append(g)
+        sized = {}
+        for n, several in by_size.items():
+            h = _hashes(_codes(several), np.arange(len(several)) * n, n)
+            order = np.argsort(h)
+            sized[n] = h[order], np.stack([self.gram[several[i]] for i in order])
+        known = np.stack(list(self.word.values())) if self.word else np.empty((0, len(self.languages)))
+        return {w: i for i, w in enumerate(self.word)}, known, sized
+
+    def word_scores(self, several: list[str]) -> np.ndarray:
+        """:meth:`word_score` of many words at once."""
+        row_of, known, sized = self.tables
+        row = np.fromiter((row_of.get(w, -1) for w in several), np.int64, len(several))
+        out = np.full((len(several), len(self.languages)), self.penalty)
+        out[row >= 0] = known[row[row >= 0]]
+        open_ = np.flatnonzero(row < 0)
+        padded = [f" {several[i]} " for i in open_]
+        codes, size = _codes(padded), np.array([len(p) for p in padded], np.int64)
+        start = np.cumsum(size) - size
+        for n in range(self.max_gram, 0, -1):
+            if not len(open_):
+                break
+            have, scores = sized.get(n, (np.empty(0, np.uint64), None))
+            if not len(have):
+                continue
+            count = np.maximum(size - n + 1, 0)
+            of = np.repeat(np.arange(len(open_)), count)
+            at = np.repeat(start, count) + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            h = _hashes(codes, at, n)
+            place = np.minimum(np.searchsorted(have, h), len(have) - 1)
+            hit = have[place] == h
+            found = np.bincount(of[hit], minlength=len(open_))
+            some = np.flatnonzero(found)
+            for k in range(len(self.languages)):
+                total = np.bincount(of[hit], scores[place[hit], k], minlength=len(open_))
+                out[open_[some], k] = total[some] / found[some]
+            rest = found == 0
+            open_, size, start = open_[rest], size[rest], start[rest]
+        return out
+
+    def batch_scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the average of each text's words' scores, how many words it has); each distinct word is scored once."""
+        distinct, index, size = split(texts)
+        table = self.word_scores(distinct)
+        of = np.repeat(np.arange(len(size)), size)
+        total = np.stack([np.bincount(of, table[index, k], minlength=len(size)) for k in range(len(self.languages))], axis=1)
+        return total / np.maximum(size, 1)[:, None], size
+
     def scores(self, text: str) -> np.ndarray | None:
-        """The average of the words' scores, None without a word; a table of scored words is kept, within bounds."""
-        got = words(text)
-        if not got:
-            return None
-        if self.table is None or len(self.rows) > _CACHE:
-            self.rows, self.table = {}, np.empty((1024, len(self.languages)))
-        rows = self.rows
-        ids = [rows.get(w, -1) for w in got]
-        if -1 in ids:
-            for w in set(got):
-                if w not in rows:
-                    if len(rows) == len(self.table):
-                        self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                    self.table[len(rows)] = self.word_score(w)
-                    rows[w] = len(rows)
-            ids = [rows[w] for w in got]
-        return self.table[ids].mean(axis=0)
+        """The average of the words' scores, None without a word."""
+        got, size = self.batch_scores(pa.array([text]))
+        return got[0] if size[0] else None
 
 
 def fit(texts: list[str], langs: list[str], max_gram: int = MAX_GRAM, penalty: float = PENALTY, least_word: int = LEAST_WORD, least_gram: int = LEAST_GRAM) -> Model | None:
     """Relative frequencies by language; None without a labelled word."""
     by_lang: dict[str, Counter] = {}
-    for t, lang in zip(texts, langs):
-        by_lang.setdefault(lang, Counter()).update(words(t))
+    for lang in set(langs):
+        distinct, index, _ = split(pa.array([t for t, x in zip(texts, langs) if x == lang], pa.string()))
+        by_lang[lang] = Counter({distinct[i]: n for i, n in enumerate(np.bincount(index, minlength=len(distinct)).tolist()) if n})
     languages = sorted(x for x, c in by_lang.items() if c)
     if not languages:
         return None
@@ -108,10 +177,11 @@ def fit(texts: list[str], langs: list[str], max_gram: int = MAX_GRAM, penalty: f
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> Model | None:
-    """The model of up to ``max_train`` rows that have a language and a text."""
+    """The model of up to ``max_train`` rows that have a language and a text, also where ids are repeated."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL AND l <> ''")
     ids = rows.select("i", "l", F.xxhash64("i").alias("h")).orderBy("h", "i", "l").limit(max_train).select("i").distinct()
-    got = rows.join(F.broadcast(ids), "i").select("t", "l").toPandas()
+    chosen = rows.join(F.broadcast(ids), "i").orderBy(F.xxhash64("i"), "i", "l", F.xxhash64("t")).limit(max_train)
+    got = chosen.select("t", "l").toPandas()
     return fit(got["t"].tolist(), got["l"].tolist())
 
 
@@ -120,7 +190,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     A text without a word (null, empty, digits) or a corpus without labels gives 'und' with null score and margin. Of
     equal scores the first language in alphabetical order wins. Margin is null if there is one language. Repeated rows
-    are scored each. Empty in, empty out.
+    are scored each. Ids are integers, or are cast to such. Null ids are left out. Empty in, empty out.
     """
     model = model or train(docs, id_col, text_col, lang_col, max_train)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
@@ -131,19 +201,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def score(batches):
         m = shared.value
+        names = np.array([*m.languages, "und"], object)
         for batch in batches:
-            langs, best, margin = [], [], []
-            for t in batch.column(1).to_pylist():
-                s = m.scores(t)
-                if s is None:
-                    langs.append("und")
-                    best.append(None)
-                    margin.append(None)
-                    continue
-                k = int(s.argmin())
-                langs.append(m.languages[k])
-                best.append(round(float(s[k]), 6))
-                margin.append(round(float(np.partition(s, 1)[1] - s[k]), 6) if len(s) > 1 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(best, pa.float64()), pa.array(margin, pa.float64())], ["doc_id", "language", "score", "margin"])
+            got, size = m.batch_scores(batch.column(1))
+            best, none = got.argmin(axis=1), size == 0
+            low = got[np.arange(len(got)), best]
+            margin = np.partition(got, 1, axis=1)[:, 1] - low if len(m.languages) > 1 else np.zeros(len(got))
+            langs = names[np.where(none, len(m.languages), best)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(low.round(6), mask=none), pa.array(margin.round(6), mask=none if len(m.languages) > 1 else np.ones(len(got), bool))], ["doc_id", "language", "score", "margin"])
 
     return rows.mapInArrow(score, "doc_id bigint, language string, score double, margin double")

@@ -8,7 +8,8 @@ of all of the source's documents (ordered by md5 of seed, block and id); whole b
 cut where the budget is met.
 
 The permutation is cut without sorting a source in one place: documents fall into 4096 hash buckets of a block, whose
-token sums are added up, and only the bucket in which the budget runs out is ordered row by row.
+token sums are added up; within a bucket they are ordered row by row. Nor are the sources collected, of which there may be
+many: each pass of the bisection sums up a grid of 1,023 exponents at once, which is ten halvings.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, spark_rows, words_of
+from .common import cut, words_of
 
 ENTROPY, MAX_REPEATS, SEED, STEPS = 0.95, 4.0, "mix-1", 50
 
@@ -61,6 +62,44 @@ def solve_exponent(tokens: dict, budget: float, target: float = ENTROPY, max_rep
     return max(by_entropy, by_repeats)
 
 
+def _plan(sources: DataFrame, factor: float, target: float, max_repeats: float) -> DataFrame:
+    """(source, tok, whole, rest): how many whole blocks of a source's tokens, and how many tokens of a last one."""
+    total, n = sources.agg(F.sum("tok"), F.count("*")).first()
+    if not n:
+        return sources.select("source", "tok", F.col("tok").alias("whole"), F.col("tok").alias("rest"))
+    budget = factor * total
+    shares = sources.withColumn("q", F.col("tok").cast("double") / F.lit(float(total)))
+    a = 1.0 if n < 2 else _exponent(shares, budget, target * math.log(n), max_repeats)
+    p = F.pow("q", F.lit(a))
+    z = shares.agg(F.sum(p)).first()[0]
+    goal = F.floor(p / F.lit(z) * F.lit(float(budget)) + 0.5)
+    whole = F.floor(goal / F.col("tok"))
+    return shares.select("source", "tok", whole.alias("whole"), (goal - whole * F.col("tok")).alias("rest"))
+
+
+def _exponent(shares: DataFrame, budget: float, goal: float, max_repeats: float) -> float:
+    """:func:`solve_exponent` over a table: both bisections at once, ten halvings for each pass over the sources."""
+
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        """(entropy, most repeats) of the weights with each exponent."""
+        at = F.array(*[F.lit(x) for x in exponents])
+        each = shares.select("q", "tok", F.posexplode(at).alias("i", "a")).select("i", "tok", F.pow("q", F.col("a")).alias("p"), (F.col("a") * F.log("q")).alias("l"))
+        got = each.groupBy("i").agg(F.sum("p").alias("z"), F.sum(F.col("p") * F.col("l")).alias("pl"), F.max(F.col("p") / F.col("tok")).alias("r")).collect()
+        return [(math.log(x["z"]) - x["pl"] / x["z"], x["r"] / x["z"] * budget) for x in sorted(got, key=lambda x: x["i"])]
+
+    (low_entropy, low_repeats), (natural, _) = sums([0.0, 1.0])
+    by_entropy, by_repeats = natural < goal, low_repeats > max_repeats
+    e = r = (0.0, 1.0)
+    for _ in range(STEPS // 10):
+        grid = [lo + k * (hi - lo) / 1024 for lo, hi in (e, r) for k in range(1, 1024)]
+        got = sums(grid)
+        # As exponents grow the entropy falls and the repeats fall: the halvings end beside the last that is still too small.
+        k = sum(h >= goal for h, _ in got[:1023])
+        j = sum(x > max_repeats for _, x in got[1023:])
+        e, r = (tuple(lo + (hi - lo) * x / 1024 for x in (i, i + 1)) for (lo, hi), i in ((e, k), (r, j)))
+    return max(e[0] if by_entropy else 1.0, r[1] if by_repeats else 0.0)
+
+
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget_factor: float = 1.0, target: float = ENTROPY, max_repeats: float = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """``doc_id, source, block, position, n_tokens``: the schedule that realises the weights.
 
@@ -68,21 +107,11 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     source's blocks are below the source's budget, so a source exceeds its budget by less than a document. A source
     without a token is weightless and left out, as are wordless (null, empty) texts: they can't fill a budget. A null
     source is a source of its own, written as ''. Repeated rows are taken once, the one with most tokens. Ties of the
-    hash are ordered by id. Null ids are left out. Empty in, empty out.
+    hash are ordered by id. Ids are integers, or are cast to such. Null ids are left out. Empty in, empty out.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), words_of(F.col(text_col).cast("string")).alias("n_tokens"))
     rows = cut(rows.where("doc_id IS NOT NULL AND n_tokens > 0").groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("m")).select("doc_id", "m.source", "m.n_tokens"), "mix-lengths")
-    # The list of sources is metadata of a corpus; it is the one thing collected.
-    tokens = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("n_tokens")).collect()}
-    total = sum(tokens.values())
-    budget = budget_factor * total
-    w = weights(tokens, solve_exponent(tokens, budget, target, max_repeats)) if total else {}
-    plan = []
-    for s in sorted(w):
-        goal = math.floor(w[s] * budget + 0.5)
-        whole = goal // tokens[s]
-        plan.append((s, whole, goal - whole * tokens[s]))
-    plan = spark_rows(docs.sparkSession, plan, "source string, whole bigint, rest bigint")
+    plan = _plan(cut(rows.groupBy("source").agg(F.sum("n_tokens").alias("tok")), "mix-sources"), budget_factor, target, max_repeats)
     # Sources may be many in another corpus: no broadcast hint, the join's size is Spark's to judge.
     held = rows.join(plan, "source").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole"))).alias("block"))
     held = held.where("block < whole OR rest > 0").withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), F.col("block"), F.col("doc_id"))))

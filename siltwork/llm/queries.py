@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, exact_dedup, html_extract, language_id, minhash, mixing, packing, pii, suffix_dedup
 from . import toxicity as tox
@@ -49,7 +50,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+    """Every 50th vector is a query against all vectors."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, queries=vectors.where(F.pmod("vec_id", F.lit(50)) == 0))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,9 @@ def bm25(index: Index, terms: list[str], fields: list[Field]) -> DataFrame:
     w = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("field"))
     joined = hits.join(F.broadcast(df), ["term", "field"]).join(F.broadcast(stats), "field")
     score = w * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return joined.groupBy("idx").agg(F.sum(score).alias("bm25"))
+    # Few numbers for each item; added in order of size, so that equal items have equal scores however they are partitioned.
+    parts = F.sort_array(F.collect_list(score))
+    return joined.groupBy("idx").agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("bm25"))
 
 
 _held: deque[DataFrame] = deque()

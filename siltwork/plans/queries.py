@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.extract import merge_tags
+from ..functions.extract import json_path, merge_tags
 from ..functions.hashing import hash_embed
 from ..functions.snippet import snippet_column
 from ..operators import scoring as S
@@ -57,7 +57,8 @@ def tokenize_counts(spark, sf_dir):
 
 
 def token_dedup(spark, sf_dir):
-    return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.distinct_tokens(F.col("text")), " ").alias("tokens"))
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.md5(F.array_join(T.distinct_tokens(F.col("text")), " ")).alias("tokens"))
 
 
 def cjk_tokens(spark, sf_dir):
@@ -94,17 +95,6 @@ def bm25_multi(spark, sf_dir):
     return r.select(F.col("idx").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
-def bm25_postings(spark, sf_dir):
-    """The same scores by way of the inverted index, for documents that have a term."""
-    post = postings(field_rows(_items(spark, sf_dir), CORPUS))
-    lengths = doc_lengths(post)
-    n = _table(spark, sf_dir, "documents").count()
-    from ..operators.index import Index
-
-    ix = Index(spark, CORPUS, _items(spark, sf_dir), post, lengths, field_stats(lengths, max(n, 1)))
-    return S.bm25(ix, TERMS, CORPUS.searchable()).select(F.col("idx").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
-
-
 def fast_search(spark, sf_dir):
     r = S.bm25_scan(_items(spark, sf_dir), TERMS, _fields(), ["idx"]).where("bm25 > 0")
     return r.orderBy(F.desc("bm25"), "idx").limit(TOP_K).select(F.col("idx").alias("doc_id"), F.round("bm25", 6).alias("score"))
@@ -208,8 +198,10 @@ def field_restriction(spark, sf_dir):
 
 
 def hash_embeddings(spark, sf_dir):
+    """The buckets of each text that aren't zero."""
     d = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", hash_embed(F.coalesce(F.col("text"), F.lit(""))).alias("vec"))
+    vec = d.select("doc_id", F.posexplode(hash_embed(F.coalesce(F.col("text"), F.lit("")))).alias("bucket", "x"))
+    return vec.where("x <> 0").select("doc_id", "bucket", F.round(F.col("x").cast("double"), 6).alias("value"))
 
 
 def snippet_hits(spark, sf_dir):
@@ -218,10 +210,18 @@ def snippet_hits(spark, sf_dir):
     return rows.select("doc_id", snippet_column([("text", F.col("text"))], QUERY).alias("snippet"))
 
 
-def dot_path(spark, sf_dir):
-    from ..functions.extract import json_path
+DOT_PATHS = {"k": "props.k", "key": "more.0.b", "place": "list[1].x", "number": "list.0", "deep": "list[1].y[1][0]", "none": "props.missing.x", "beyond": "list[9]", "empty": "props..k"}
+
 
-    return _table(spark, sf_dir, "events").select("event_id", json_path(F.col("props"), "k").alias("k"), json_path(F.col("props"), "missing.x").alias("missing"))
+def dot_path(spark, sf_dir):
+    """Paths into maps and lists: by key, by place, a number as either, lists in lists; what isn't there; an empty part."""
+    e = _table(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    row = F.struct(F.from_json("props", "k bigint").alias("props"), F.struct(F.struct(user.alias("b")).alias("0")).alias("more"))
+    pair = F.struct(F.col("event_type").alias("x"), F.array(F.array(user), F.array(F.col("event_type"), user)).alias("y"))
+    whole = F.concat(F.expr("substring(j, 1, length(j) - 1)"), F.lit(',"list":["'), user, F.lit('",'), F.to_json(pair), F.lit("]}"))
+    d = e.withColumn("j", F.to_json(row)).withColumn("j", whole)
+    return d.select("event_id", *[json_path(F.col("j"), p).alias(n) for n, p in DOT_PATHS.items()])
 
 
 def tags_merge(spark, sf_dir):
@@ -264,7 +264,7 @@ def source_diff(spark, sf_dir):
 
 QUERIES = {
     "tokenize_counts": tokenize_counts, "token_dedup": token_dedup, "cjk_tokens": cjk_tokens, "postings": build_postings, "doc_length": doc_length,
-    "field_stats": build_field_stats, "term_df": term_df, "bm25_field": bm25_field, "bm25_multi": bm25_multi, "bm25_postings": bm25_postings, "fast_search": fast_search,
+    "field_stats": build_field_stats, "term_df": term_df, "bm25_field": bm25_field, "bm25_multi": bm25_multi, "fast_search": fast_search,
     "dense_topk": dense_topk, "dense_weighted": dense_weighted, "phrase_boost": phrase_boost, "name_match": name_match, "exact_prefix": exact_prefix,
     "strict_extract": strict_extract, "strict_boost": strict_boost, "minmax_normalize": minmax_normalize, "hybrid_stage1": hybrid_stage1,
     "rerank_signal": rerank_signal, "search_topk": search_topk, "field_restriction": field_restriction, "hash_embed": hash_embeddings, "snippet": snippet_hits,
@@ -359,11 +359,24 @@ _DOT = "list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform(list_zip({0},
 _VEC0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 _KEY = "SELECT left(coalesce(text, ''), 512) AS t, source, lang FROM documents"
 
+_FNV = "list_reduce(list_prepend(CAST({h} AS BIGINT), list_transform(regexp_extract_all(hex(encode({s})), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
+_EMBED = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM d),
+tri AS (SELECT doc_id, unnest(b[:-3]) AS x, unnest(b[2:-2]) AS y, unnest(b[3:]) AS z FROM bytes WHERE len(b) > 2),
+three AS (SELECT doc_id, (xor((xor((xor(2166136261, x) * 16777619) & 4294967295, y) * 16777619) & 4294967295, z) * 16777619) & 4294967295 AS h, 1 AS w FROM tri),
+words AS (SELECT doc_id, list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '') AS ws FROM d),
+singles AS (SELECT doc_id, unnest(ws) AS s FROM words), pairs AS (SELECT doc_id, unnest(ws[:-2]) || ' ' || unnest(ws[2:]) AS s FROM words WHERE len(ws) > 1),
+names AS MATERIALIZED (SELECT s, {_FNV.format(h=2166136261, s='s')} AS h FROM (SELECT s FROM singles UNION SELECT s FROM pairs)),
+found AS (SELECT * FROM three UNION ALL SELECT doc_id, h, 2 FROM singles JOIN names USING (s) WHERE strlen(s) >= 2 UNION ALL SELECT doc_id, h, 3 FROM pairs JOIN names USING (s)),
+sums AS (SELECT doc_id, CAST(h % 512 AS INT) AS bucket, CAST(sum(w) AS DOUBLE) AS c FROM found GROUP BY ALL)
+SELECT doc_id, bucket, round(CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 6) AS value FROM sums"""
+
 SQL = {
     "tokenize_counts": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tok('text')} AS t FROM documents)",
-    "token_dedup": f"SELECT item_id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ' ') AS tokens FROM (SELECT item_id, {_tok('text')} AS t FROM benchmark)",
+    "token_dedup": f"SELECT doc_id, md5(coalesce(string_agg(x, ' ' ORDER BY i), '')) AS tokens FROM documents LEFT JOIN (SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(t) AS x, unnest(range(len(t))) AS i FROM (SELECT doc_id, {_tok('text')} AS t FROM documents)) GROUP BY ALL) USING (doc_id) GROUP BY doc_id",
     "cjk_tokens": "SELECT * FROM (VALUES ('Nginx配置', 'nginx,配置'), ('PRODUCT-2024-001', 'product,2024,001'), ('hello world', 'hello,world'), ('Nginx 配置管理', 'nginx,配置,置管,管理'), ('!!!', ''), ('测试abc测试', '测试,abc,测试'), ('单个字运行时: 洞 和 配置', '单个,个字,字运,运行,行时,洞,和,配置')) AS v(t, tokens)",
-    "postings": _POST,
+    "postings": f"SELECT idx, field, term, tf, count(*) OVER (PARTITION BY idx, field) AS dl FROM ({_POST})",
     "doc_length": _LEN,
     "field_stats": f"SELECT field, n, round(avgdl, 6) AS avgdl FROM ({_STATS})",
     "term_df": f"SELECT term, field, count(*) AS df FROM ({_POST}) GROUP BY ALL",
@@ -383,7 +396,8 @@ SQL = {
     "rerank_signal": _RERANK + " SELECT doc_id, round(signal, 6) AS signal FROM sig",
     "search_topk": _RERANK + f", fin AS (SELECT doc_id, CAST(0.8 AS DOUBLE) * stage1 + CAST(0.2 AS DOUBLE) * ({_NORM.format('signal')}) AS score FROM sig) SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM fin ORDER BY score DESC, doc_id LIMIT {TOP_K})",
     "field_restriction": _bm25(["src1", "en"], {"lang": 1.0, "source": 3.0}) + " SELECT doc_id, round(bm25, 6) AS bm25 FROM score",
-    "dot_path": "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing.x') AS missing FROM events",
+    "dot_path": "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(user_id AS VARCHAR) AS key, event_type AS place, CAST(user_id AS VARCHAR) AS number, event_type AS deep, CAST(NULL AS VARCHAR) AS none, CAST(NULL AS VARCHAR) AS beyond, CAST(NULL AS VARCHAR) AS empty FROM events",
+    "hash_embed": _EMBED,
     "tags_merge": "SELECT p_partkey, p_name || ' ' || lower(p_type) AS tags FROM part",
     "glob_filter": f"SELECT page_id, path FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '[?#].*$', '') AS path FROM pages) WHERE regexp_matches(path, '{glob_regex(GLOB)}')",
     "embed_cache_misses": f"SELECT md5(t) AS key, CAST(length(t) AS BIGINT) AS n_chars FROM (SELECT DISTINCT t FROM ({_KEY})) WHERE t NOT IN (SELECT t FROM ({_KEY}) WHERE source = 'src0')",

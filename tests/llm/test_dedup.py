@@ -45,6 +45,15 @@ def test_exact_blocks(spark, block):
     assert len({(x.level, x.name) for x in names}) == len({t for _, t in rows}) and len({x.__getitem__("__id") for x in names}) == 60
 
 
+def test_blocks_of_long_texts(spark):
+    """Cut in three steps, blocks are those of one cut, in order, also of letters of several bytes."""
+    rows = [(i, "".join(chr(97 + (i * k) % 26) if k % 5 else "é" for k in range(n))) for i, n in enumerate((0, 1, 2, 5, 64 * 2, 64 * 2 + 1, 64 * 64 * 2, 64 * 64 * 2 + 3, 20_000))]
+    got = defaultdict(dict)
+    for r in exact_dedup._blocks(texts(spark, rows), "doc_id", "text", 2).collect():
+        got[r["__id"]][r["__pos"]] = r["__block"]
+    assert all([got[i][k] for k in range(len(got[i]))] == ([t[k : k + 2] for k in range(0, len(t), 2)] or [""]) for i, t in rows)
+
+
 def test_blocks_that_share_a_hash(spark, monkeypatch):
     """With a hash of two values nearly all blocks collide; their bytes tell them apart."""
     real = exact_dedup._blocks

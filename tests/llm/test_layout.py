@@ -290,6 +290,17 @@ def test_exponent():
     assert mixing.solve_exponent({}, 0) == mixing.solve_exponent({"a": 5}, 5) == 1 and mixing.solve_exponent({"a": 9, "b": 1}, 100, 0.9, 2) == 1
 
 
+def test_exponent_over_a_table(spark):
+    """The passes over a table of sources find what halving finds on a dictionary."""
+    r = random.Random(9)
+    for n, target, most in ((2, 0.95, 4), (5, 0.99, 1e9), (40, 0.7, 1.5), (40, 0.999, 3)):
+        tokens = {f"s{i}": max(1, int(r.lognormvariate(5, 2))) for i in range(n)}
+        total = sum(tokens.values())
+        want = mixing.solve_exponent(tokens, total, target, most)
+        table = spark.createDataFrame([(s, t, t / total) for s, t in tokens.items()], "source string, tok bigint, q double")
+        assert mixing._exponent(table, total, target * math.log(n), most) == pytest.approx(want, abs=1e-12)
+
+
 def corpus(spark, n=300):
     r = random.Random(2)
     return spark.createDataFrame([(i, prose(i, r.randint(1, 60)), "hot" if i % 10 else f"s{i % 3}") for i in range(n)], "doc_id bigint, text string, source string")
