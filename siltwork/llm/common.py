@@ -156,6 +156,11 @@ def normal(text: str) -> bytes:
     return low.encode("utf-8", "replace")
 
 
+def sign_classes() -> tuple[str, str]:
+    """What :func:`normal` takes for signs, and for words of one letter, as classes of a regular expression in ASCII."""
+    return tuple("".join(c if c.isascii() else f"\\x{{{ord(c):x}}}" for c in p.pattern) for p in (_SIGN, _LETTER))
+
+
 def word_hashes(text: str | bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a text (or of its :func:`normal` form), with their first and last+1 byte in that form."""
     raw = np.frombuffer(normal(text) if isinstance(text, str) else text, np.uint8)

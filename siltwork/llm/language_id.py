@@ -211,3 +211,31 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(low.round(6), mask=none), pa.array(margin.round(6), mask=none if len(m.languages) > 1 else np.ones(len(got), bool))], ["doc_id", "language", "score", "margin"])
 
     return rows.mapInArrow(score, "doc_id bigint, language string, score double, margin double")
+
+
+_SQL = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, lang FROM documents WHERE doc_id IS NOT NULL),
+w AS MATERIALIZED (SELECT r, word, CAST(count(*) AS DOUBLE) AS k FROM (SELECT r, unnest(regexp_extract_all(lower(text), '[\pL\pM]+')) AS word FROM docs) GROUP BY ALL),
+train AS MATERIALIZED (SELECT lang, word, sum(k) AS k FROM w JOIN docs USING (r) WHERE lang <> '' GROUP BY ALL),
+langs AS (SELECT DISTINCT lang FROM train),
+wl AS MATERIALIZED (SELECT lang, word, least({penalty}, -log10(k / t)) AS s FROM train JOIN (SELECT lang, sum(k) AS t FROM train GROUP BY lang) USING (lang) WHERE k >= {least_word}),
+known AS MATERIALIZED (SELECT DISTINCT word FROM wl),
+open_ AS MATERIALIZED (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT word FROM known)),
+sizes AS (SELECT unnest(range(1, {max_gram} + 1)) AS n),
+g AS MATERIALIZED (SELECT lang, n, gram, sum(k) AS c FROM (SELECT lang, k, n, unnest({grams}) AS gram FROM train, sizes) GROUP BY ALL),
+gl AS MATERIALIZED (SELECT lang, n, gram, least({penalty}, -log10(c / t)) AS s FROM g JOIN (SELECT lang, n, sum(c) AS t FROM g GROUP BY ALL) USING (lang, n) WHERE c >= {least_gram}),
+hit AS MATERIALIZED (SELECT word, n, gram FROM (SELECT word, n, unnest({grams}) AS gram FROM open_, sizes) JOIN (SELECT DISTINCT n, gram FROM gl) USING (n, gram)),
+longest AS (SELECT word, max(n) AS n FROM hit GROUP BY word),
+score AS MATERIALIZED (
+  SELECT word, langs.lang, coalesce(s, {penalty}) AS s FROM known CROSS JOIN langs LEFT JOIN wl USING (word, lang)
+  UNION ALL SELECT word, lang, avg(s) FROM (SELECT word, langs.lang, coalesce(s, {penalty}) AS s FROM hit JOIN longest USING (word, n) CROSS JOIN langs LEFT JOIN gl USING (lang, n, gram)) GROUP BY ALL
+  UNION ALL SELECT word, lang, {penalty} FROM open_ CROSS JOIN langs WHERE word NOT IN (SELECT word FROM hit)),
+ranked AS (SELECT r, lang, x, row_number() OVER (PARTITION BY r ORDER BY round(x, 9), lang) AS p FROM (SELECT r, lang, sum(k * s) / sum(k) AS x FROM w JOIN score USING (word) GROUP BY ALL))
+SELECT doc_id, coalesce(a.lang, 'und') AS language, round(a.x, 6) AS score, round(b.x - a.x, 6) AS margin
+FROM docs LEFT JOIN (SELECT * FROM ranked WHERE p = 1) AS a USING (r) LEFT JOIN (SELECT * FROM ranked WHERE p = 2) AS b USING (r)"""
+
+
+def identify_sql() -> str:
+    """:func:`identify` of ``documents``, where no more than ``MAX_TRAIN`` rows are labelled, so that all of them are fitted on."""
+    grams = "list_transform(range(1, length(word) + 4 - n), lambda i: substring(' ' || word || ' ', i, n))"
+    return _SQL.format(penalty=f"CAST({PENALTY} AS DOUBLE)", least_word=LEAST_WORD, least_gram=LEAST_GRAM, max_gram=MAX_GRAM, grams=grams)

@@ -72,5 +72,7 @@ SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITI
   CASE WHEN text IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY text) END AS copies,
   text IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY text) AS is_kept
 FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL)""",
+    "op5_language_id": language_id.identify_sql(),
+    "op8_near_dedup": minhash.near_sql(),
     "op9_mixing": mixing.mix_sql(),
 }

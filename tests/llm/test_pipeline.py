@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -77,6 +78,19 @@ def test_queries_are_registered():
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_against_sql(spark, data, name):
+    got = queries.QUERIES[name](spark, data).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
+    want = con.execute(queries.SQL[name]).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns) and len(got) == len(want)
+    a, b = (df[cols].sort_values(cols, ignore_index=True) for df in (got, want))
+    for c in cols:
+        assert (a[c].fillna("~") == b[c].fillna("~")).all(), c
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 300), (300, 250), (7, 7)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "t").collect())
