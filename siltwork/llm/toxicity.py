@@ -11,6 +11,7 @@ held out to choose the threshold. Every document is scored over its whole text.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,27 +104,34 @@ def fit(texts: list[str], labels: list[int], epochs: int = 300, least_docs: int
     # A feature that is no more usual in toxic documents than elsewhere can't raise a sentence's probability.
     names = sorted(f for f, n in df.items() if pos[f] / n > base)
     index = {f: i for i, f in enumerate(names)}
-    sent_of, feat_of, doc_of = [], [], []
-    s = 0
+    # Pairs of a sentence and a feature, by sentence, in four bytes each: they are most of what the driver holds here.
+    feats, size, docs_ = array("i"), array("i"), array("i")
     plain = np.zeros(len(texts))
     for d, t in enumerate(texts):
         for sent in bag(t):
             ids = [index[f] for f in sent if f in index]
-            if not ids:
+            if ids:
+                feats.extend(ids)
+                size.append(len(ids))
+                docs_.append(d)
+            else:
                 plain[d] += 1
-                continue
-            sent_of += [s] * len(ids)
-            feat_of += ids
-            doc_of.append(d)
-            s += 1
-    sent_of, feat_of, doc_of = np.array(sent_of, int), np.array(feat_of, int), np.array(doc_of, int)
+    feat_of, size, doc_of = (np.frombuffer(x, np.int32) if x else np.empty(0, np.int32) for x in (feats, size, docs_))
+    s = len(size)
+    # The same pairs by feature: the sentences of each. Every sentence has a feature and every feature a sentence.
+    sent_of = np.repeat(np.arange(s, dtype=np.int32), size)[np.argsort(feat_of, kind="stable")]
+    by_sent, by_feat = (np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else np.empty(0, np.int64) for n in (size, np.bincount(feat_of, minlength=len(names))))
+
+    def sums(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, begins) if len(begins) else np.zeros(0)
+
     w, b = np.zeros(len(names)), -4.0
     train = (~held).astype(float)
     n_train = max(1.0, train.sum())
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
 
     def logs(w, b):
-        z = b + np.bincount(sent_of, w[feat_of], minlength=s)
+        z = b + sums(w[feat_of], by_sent)
         p = np.clip(1 / (1 + np.exp(-z)), 1e-12, 1 - 1e-12)
         p0 = min(max(1 / (1 + np.exp(-b)), 1e-12), 1 - 1e-12)
         return p, p0, np.bincount(doc_of, np.log1p(-p), minlength=len(texts)) + plain * np.log1p(-p0)
@@ -133,7 +141,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 300, least_docs: int
         q = np.clip(-np.expm1(log_none), 1e-9, 1 - 1e-9)
         pull = np.where(y > 0, (1 - q) / q, -1.0) * train / n_train  # d loglik / d(-log_none)
         gz = pull[doc_of] * p
-        gw = np.bincount(feat_of, gz[sent_of], minlength=len(names)) - l1 * np.sign(w)
+        gw = sums(gz[sent_of], by_feat) - l1 * np.sign(w)
         gb = gz.sum() + (pull * plain).sum() * p0
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -162,8 +170,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).where("__id IS NOT NULL AND __t IS NOT NULL")
     # Of ids that rows repeat, too, no more than max_train rows come to the driver.
     chosen = rows.join(F.broadcast(known), "__id").select(F.xxhash64("__id").alias("__h"), "__id", "__t", "__y").orderBy("__h", "__id", F.xxhash64("__t")).limit(max_train)
-    got = chosen.toPandas()
-    return fit(got["__t"].tolist(), (got["__y"] > 0).astype(int).tolist())
+    got = chosen.select("__t", "__y").toArrow()
+    texts, labels = got.column(0).to_pylist(), [int(y > 0) for y in got.column(1).to_pylist()]
+    del got  # the texts are held once
+    return fit(texts, labels)
 
 
 _SCHEMA = "doc_id bigint, toxicity double, is_toxic boolean, offending array<struct<start:int,end:int,score:double>>"
