@@ -43,9 +43,22 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     if not _written:
         atexit.register(release)
     _written.append((spark, path))
+    relieve(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def relieve(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage if its heap takes more than half of what it may.
+
+    A chain of many queries leaves plans and compiled code behind. They are garbage, but the JVM would rather fill its whole
+    heap with them; once it collects, it gives the memory back, and Spark deletes the shuffle files of what has ended.
+    """
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        jvm.java.lang.System.gc()
+
+
 def release() -> None:
     """Delete the temporary tables; run when the results that read them have been written."""
     while _written:

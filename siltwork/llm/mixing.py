@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words_of
+from .common import cut, relieve, words_of
 
 ENTROPY, MAX_REPEATS, SEED, STEPS = 0.95, 4.0, "mix-1", 50
 
@@ -85,6 +85,7 @@ def _exponent(shares: DataFrame, budget: float, goal: float, max_repeats: float)
         at = F.array(*[F.lit(x) for x in exponents])
         each = shares.select("q", "tok", F.posexplode(at).alias("i", "a")).select("i", "tok", F.pow("q", F.col("a")).alias("p"), (F.col("a") * F.log("q")).alias("l"))
         got = each.groupBy("i").agg(F.sum("p").alias("z"), F.sum(F.col("p") * F.col("l")).alias("pl"), F.max(F.col("p") / F.col("tok")).alias("r")).collect()
+        relieve(shares.sparkSession)
         return [(math.log(x["z"]) - x["pl"] / x["z"], x["r"] / x["z"] * budget) for x in sorted(got, key=lambda x: x["i"])]
 
     (low_entropy, low_repeats), (natural, _) = sums([0.0, 1.0])

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import relieve
+
 MAX_TRAIN = 12_000
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 _WORD = re.compile(r"\w+")
@@ -173,6 +175,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     got = chosen.select("__t", "__y").toArrow()
     texts, labels = got.column(0).to_pylist(), [int(y > 0) for y in got.column(1).to_pylist()]
     del got  # the texts are held once
+    relieve(docs.sparkSession)  # what fetching them left in the JVM is not to stand beside the fit
     return fit(texts, labels)
 
 

@@ -1,11 +1,12 @@
 import math
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from siltwork.llm import minhash, mixing, packing, queries, toxicity
+from siltwork.llm import common, minhash, mixing, packing, queries, toxicity
 from siltwork.llm.common import components, numbered, shared_dir
 from tests.llm.cases import empty, odd
 from tests.llm.test_dedup import brute_near
@@ -112,3 +113,22 @@ def test_shared_dir(spark):
 
     with pytest.raises(ValueError):
         shared_dir(Cluster)
+
+
+def test_driver_heap_is_given_back(spark, monkeypatch):
+    """Every cut, and the fit before it begins, has the JVM collect a heap that has grown beyond half of its bound; a smaller one is left."""
+    jvm, gcs, heap = spark.sparkContext._jvm, [], [0]
+    fake = SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(
+        Runtime=SimpleNamespace(getRuntime=lambda: SimpleNamespace(totalMemory=lambda: heap[0], maxMemory=lambda: 1000)), System=SimpleNamespace(gc=lambda: gcs.append(heap[0])))))
+    real = common.relieve
+    watched = lambda s: real(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=fake)))
+    monkeypatch.setattr(common, "relieve", watched)
+    monkeypatch.setattr(toxicity, "relieve", watched)
+    for heap[0] in (500, 501):
+        assert common.cut(spark.range(3), "t").count() == 3
+    assert gcs == [501]
+    docs, labels = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id bigint, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: len(gcs))
+    assert toxicity.train_toxicity(docs, labels) == 2
+    monkeypatch.undo()
+    assert jvm.java.lang.Runtime.getRuntime().totalMemory() > 0 and common.relieve(spark) is None
