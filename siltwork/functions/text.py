@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 
 import regex
 from pyspark.sql import Column
@@ -44,6 +46,30 @@ def py_tokens(text: str) -> list[str]:
     return out
 
 
+# ASCII in lower case, blanks for what is in no word; bytes of other letters stay.
+_WORD_BYTES = bytes(ord(chr(b).lower()) if b == 95 or chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
+
+
+@lru_cache(1 << 15)
+def _pieces(word: str) -> tuple[str, ...]:
+    return tuple(py_tokens(word))
+
+
+def term_counts(data: bytes | None) -> Counter[str]:
+    """How often each of :func:`tokens` occurs in a text's UTF-8 bytes.
+
+    No token spans an ASCII character that is in no word, so texts are cut there first, which is cheap; only pieces with other
+    letters are matched, once for each distinct one.
+    """
+    found = Counter((data or b"").translate(_WORD_BYTES).decode("utf-8", "replace").split())
+    if data and not data.isascii():
+        for word in [w for w in found if not w.isascii()]:
+            n = found.pop(word)
+            for t in _pieces(word) if len(word) <= 64 else py_tokens(word):
+                found[t] += n
+    return found
+
+
 def py_distinct_tokens(text: str) -> list[str]:
     return list(dict.fromkeys(py_tokens(text)))
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.extract import merge_tags
-from ..functions.text import tokens
+from ..functions.text import term_counts
 from .. import storage
 from ..schema import CorpusSchema
 
@@ -61,19 +65,94 @@ def field_rows(items: DataFrame, schema: CorpusSchema) -> DataFrame:
     return items.select("idx", F.explode(pairs).alias("x")).select("idx", "x.field", "x.text")
 
 
-def postings(rows: DataFrame) -> DataFrame:
+def _typed(rows: DataFrame, keep: list[str], more: str) -> StructType:
+    return StructType([StructField(c, rows.schema[c].dataType) for c in keep] + list(StructType.fromDDL(more)))
+
+
+def in_batches(batch: pa.RecordBatch, rows: int = 512):
+    """Parts of a batch, so that few texts at a time are Python objects."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
+def _count_terms(batches):
+    """(idx, field, text) to (idx, field, term, tf, dl), a few texts at a time."""
+    for part in (p for b in batches for p in in_batches(b)):
+        counts = [term_counts(t) for t in part.column(2).to_pylist()]
+        sizes = np.array([len(c) for c in counts], np.int64)
+        row = pa.array(np.repeat(np.arange(len(counts)), sizes))
+        terms, tf = pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), terms, tf, pa.array(np.repeat(sizes, sizes))], ["idx", "field", "term", "tf", "dl"])
+
+
+def _count_lengths(batches):
+    for part in (p for b in batches for p in in_batches(b)):
+        dl = pa.array([len(term_counts(t)) for t in part.column(2).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), dl], ["idx", "field", "dl"])
+
+
+def _count_frequencies(batches, most: int = 100_000):
+    """(idx, field, text) to (term, field, df): sums of up to ``most`` terms and a text's, to be summed up further."""
+    held: dict[str, Counter] = {}
+
+    def out():
+        columns = [t for c in held.values() for t in c], [f for f, c in held.items() for _ in c], [n for c in held.values() for n in c.values()]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["term", "field", "df"])
+
+    for part in (p for b in batches for p in in_batches(b)):
+        for field, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+            held.setdefault(field, Counter()).update(list(term_counts(text)))
+            if sum(map(len, held.values())) >= most:
+                yield out()
+                held.clear()
+    if held:
+        yield out()
+
+
+def _bytes_of(rows: DataFrame) -> DataFrame:
+    return rows.select("idx", "field", F.col("text").cast("binary").alias("text"))
+
+
+def distinct_ids(ids: DataFrame) -> bool:
+    """Whether no value of the one column occurs twice."""
+    return ids.groupBy(*ids.columns).count().where("count > 1").isEmpty()
+
+
+def postings(rows: DataFrame, distinct: bool = False) -> DataFrame:
     """(idx, field, term, tf, dl): how often each term occurs in each field of each item, beside the field's length.
 
-    The texts are partitioned by item, so that their terms, which are several times as many bytes, are counted where they are.
+    A text's terms are counted where it is read. If each item has each field once (``distinct``), nothing is shuffled; else
+    the texts of an item count as one.
     """
-    terms = rows.repartition("idx").select("idx", "field", tokens(F.col("text")).alias("t"))
-    each = terms.select("idx", "field", F.size(F.array_distinct("t")).cast("bigint").alias("dl"), F.explode("t").alias("term"))
-    return each.groupBy("idx", "field", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    counted = _bytes_of(rows).mapInArrow(_count_terms, _typed(rows, ["idx", "field"], "term string, tf bigint, dl bigint"))
+    if distinct:
+        return counted
+    summed = counted.groupBy("idx", "field", "term").agg(F.sum("tf").alias("tf"))
+    return summed.withColumn("dl", F.count("*").over(Window.partitionBy("idx", "field")))
+
 
+def doc_lengths(rows: DataFrame, distinct: bool = False) -> DataFrame:
+    """(idx, field, dl): the number of distinct terms of the fields that have any. ``distinct`` as in :func:`postings`."""
+    if not distinct:
+        return postings(rows).groupBy("idx", "field").agg(F.count("*").alias("dl"))
+    return _bytes_of(rows).mapInArrow(_count_lengths, _typed(rows, ["idx", "field"], "dl bigint")).where("dl > 0")
 
-def doc_lengths(rows: DataFrame) -> DataFrame:
-    """(idx, field, dl): the number of distinct terms of the fields that have any, text by text."""
-    return rows.select("idx", "field", F.size(F.array_distinct(tokens(F.col("text")))).cast("bigint").alias("dl")).where("dl > 0")
+
+def term_frequencies(rows: DataFrame, distinct: bool = False) -> DataFrame:
+    """(term, field, df) straight from texts: sums of batches are spread by term over as many partitions as the input's size asks for."""
+    if not distinct:
+        return document_frequency(postings(rows))
+    counted = _bytes_of(rows).mapInArrow(_count_frequencies, "term string, field string, df bigint")
+    return counted.repartition(parts_for(rows), "term").groupBy("term", "field").agg(F.sum("df").alias("df"))
+
+
+def parts_for(df: DataFrame, each: int = 8 << 20) -> int:
+    """Partitions of ``each`` bytes of what ``df`` reads, so that a partition's size doesn't follow the input's; Spark's own number if that size isn't known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= 1 << 50:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(df.sparkSession.sparkContext.defaultParallelism, size // each)
 
 
 def field_stats(lengths: DataFrame, n_items: int) -> DataFrame:
@@ -81,6 +160,11 @@ def field_stats(lengths: DataFrame, n_items: int) -> DataFrame:
     return lengths.groupBy("field").agg(F.sum("dl").alias("total")).select("field", F.lit(n_items).cast("bigint").alias("n"), (F.col("total") / F.lit(n_items)).alias("avgdl"))
 
 
+def stats_of(post: DataFrame, n_items: int) -> DataFrame:
+    """:func:`field_stats` from postings: a field's lengths sum up to its postings."""
+    return post.groupBy("field").agg(F.count("*").alias("total")).select("field", F.lit(n_items).cast("bigint").alias("n"), (F.col("total") / F.lit(n_items)).alias("avgdl"))
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     """(term, field, df)."""
     return post.groupBy("term", "field").agg(F.count("*").alias("df"))
@@ -146,16 +230,19 @@ def build_index(items: DataFrame, schema: CorpusSchema, path: str, encoder=None,
         storage.delete(spark, snap)
         raise ValueError("there is nothing to index")
     tell("postings", 1, 4)
-    # Sorted by term, so that a query's terms prune files and row groups.
-    postings(field_rows(rows, schema)).repartitionByRange("term").sortWithinPartitions("term", "field", "idx").write.parquet(f"{snap}/postings")
-    field_stats(doc_lengths(field_rows(rows, schema)), n).write.parquet(f"{snap}/stats")
+    # Counted once; the ranges are found from what is written. Sorted by term, so that a query's terms prune files and row groups.
+    counted = postings(field_rows(rows, schema), distinct=True)
+    counted.write.parquet(f"{snap}/counted")
+    counted = spark.read.schema(counted.schema).parquet(f"{snap}/counted")
+    counted.repartitionByRange(parts_for(counted, 32 << 20), "term").sortWithinPartitions("term", "field", "idx").write.parquet(f"{snap}/postings")
+    stats_of(counted, n).write.parquet(f"{snap}/stats")
     tell("embeddings", 2, 4)
     embedded = encoder is not None and bool(schema.embeddable())
     if embedded:
         embed_fields(rows, schema, encoder, f"{snap}/vectors", cache_dir)
         save_encoder(spark, encoder, f"{snap}/model")
     tell("schema", 3, 4)
-    for name in ("staging", "scanned"):
+    for name in ("staging", "scanned", "counted"):
         storage.delete(spark, f"{snap}/{name}")
     storage.write_bytes(spark, f"{snap}/manifest.json", json.dumps({"items": n, "vectors": embedded, "encoder": encoder.name if embedded else ""}).encode())
     storage.write_bytes(spark, f"{snap}/schema.json", schema.to_json().encode())

@@ -15,7 +15,7 @@ from ..functions.hashing import hash_embed
 from ..functions.snippet import snippet_column
 from ..operators import scoring as S
 from ..operators.embedding import cache_misses
-from ..operators.index import doc_lengths, document_frequency, field_rows, field_stats, postings
+from ..operators.index import distinct_ids, doc_lengths, field_rows, field_stats, postings, term_frequencies
 from ..schema import LONGTEXT, TEXT, CorpusSchema, Field
 from ..sources.scan import glob_filter, glob_regex
 from ..streaming.live import difference
@@ -67,12 +67,17 @@ def cjk_tokens(spark, sf_dir):
     return df.select("t", F.array_join(T.tokens(F.col("t")), ",").alias("tokens"))
 
 
+def _rows(spark, sf_dir):
+    """The documents' fields, and whether no id occurs twice."""
+    return field_rows(_items(spark, sf_dir), CORPUS), distinct_ids(_table(spark, sf_dir, "documents").select("doc_id"))
+
+
 def build_postings(spark, sf_dir):
-    return postings(field_rows(_items(spark, sf_dir), CORPUS))
+    return postings(*_rows(spark, sf_dir))
 
 
 def doc_length(spark, sf_dir):
-    return doc_lengths(field_rows(_items(spark, sf_dir), CORPUS))
+    return doc_lengths(*_rows(spark, sf_dir))
 
 
 def build_field_stats(spark, sf_dir):
@@ -82,7 +87,7 @@ def build_field_stats(spark, sf_dir):
 
 
 def term_df(spark, sf_dir):
-    return document_frequency(build_postings(spark, sf_dir))
+    return term_frequencies(*_rows(spark, sf_dir))
 
 
 def bm25_field(spark, sf_dir):
