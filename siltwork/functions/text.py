@@ -88,7 +88,17 @@ def first_chars(text: Column, n: int) -> Column:
 
 def contains_fold(text: Column, sub: str) -> Column:
     """Whether text contains the lower-case ``sub``, whatever the case of ASCII letters; never for an empty one."""
-    return F.coalesce(F.contains(ascii_lower(text), F.lit(sub)), F.lit(False)) if sub else F.lit(False)
+    # Java's (?i) folds ASCII letters only.
+    return F.coalesce(text.rlike("(?i)" + re.escape(sub)), F.lit(False)) if sub else F.lit(False)
+
+
+def contains_lower(text: Column, sub: str) -> Column:
+    """``contains(lower(text), sub)``. Lowering a text is dear, and only two other letters have ASCII ones below them: İ and the Kelvin sign."""
+    whole = F.contains(F.lower(text), F.lit(sub))
+    if not sub or not sub.isascii() or sub != sub.lower():
+        return whole
+    other = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a"))
+    return F.when(other, whole).otherwise(text.rlike("(?i)" + re.escape(sub)))
 
 
 def ellipsis(text: Column, n: int) -> Column:

@@ -172,7 +172,10 @@ def document_frequency(post: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """A loaded index: its schema and tables. ``vectors`` is (idx, field, vec), None if nothing is embedded."""
+    """A loaded index: its schema and tables. ``vectors`` is (idx, field, vec), None if nothing is embedded.
+
+    One that isn't stored has its ``texts`` (idx, field, text), from which a query's own terms are counted, and ``n_items``.
+    """
 
     spark: SparkSession
     schema: CorpusSchema
@@ -183,6 +186,8 @@ class Index:
     path: str = ""
     encoder: object | None = None
     cached: list[DataFrame] = field(default_factory=list)
+    texts: DataFrame | None = None
+    n_items: int = 0
 
     def close(self) -> None:
         for df in self.cached:
@@ -200,7 +205,9 @@ def index_of(items: DataFrame, schema: CorpusSchema, encoder=None, vectors: Data
     if vectors is None and encoder is not None and schema.embeddable():
         embedded = rows.where(F.col("field").isin([f.name for f in schema.embeddable()]))
         vectors = embedded.select("idx", "field", encoder.column(F.substring("text", 1, schema.embed_chars())).alias("vec"))
-    return Index(items.sparkSession, schema, items, postings(rows), field_stats(doc_lengths(rows), max(n, 1)), vectors, "", encoder)
+    distinct = distinct_ids(items.select("idx"))
+    stats = field_stats(doc_lengths(rows, distinct), max(n, 1))
+    return Index(items.sparkSession, schema, items, postings(rows, distinct), stats, vectors, "", encoder, texts=rows if distinct else None, n_items=max(n, 1))
 
 
 def build_index(items: DataFrame, schema: CorpusSchema, path: str, encoder=None, cache_dir: str = "", progress=None) -> dict[str, int]:

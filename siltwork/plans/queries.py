@@ -167,7 +167,7 @@ def _signals(spark, sf_dir):
     boost, types = S.strict_boost(QUERY, [(F.col(c) if c != "path" else F.lit(""), w) for c, w in S.strict_fields(CORPUS)])
     lower = F.lower("f0")
     rows = _items(spark, sf_dir).withColumn("raw_phrase", phrase).withColumn("name", S.name_match(lower, QUERY, TERMS)).withColumn("strict", boost).withColumn("strict_types", types)
-    rows = rows.withColumn("prefix", S.prefix_match(lower, QUERY)).withColumn("signal", S.rerank_signal(lower, F.lower("f2"), TERMS, F.size("strict_types") > 0, []))
+    rows = rows.withColumn("prefix", S.prefix_match(lower, QUERY)).withColumn("signal", S.rerank_signal(lower, F.col("f2"), TERMS, F.size("strict_types") > 0, []))
     scored = S.bm25_scan(rows, TERMS, _fields(), ["idx", "raw_phrase", "name", "strict", "prefix", "signal"])
     return scored.withColumn("phrase", F.when(F.col("bm25") > 0, F.col("raw_phrase")).otherwise(0.0)).withColumn("emb", F.lit(0.0)).withColumn("exact", F.lit(False))
 

@@ -32,16 +32,18 @@ def signals(index: Index, query: str, terms: list[str], searchable: list[Field],
     name = schema.primary()
     name_col = F.col(column_of(schema, name.name)) if name else F.lit("")
     name_lower = F.lower(name_col)
-    out = items.join(S.bm25(index, terms, searchable), "idx", "left").withColumn("bm25", _zero(F.col("bm25")))
+    phrase = S.phrase_boost(terms, [F.col(column_of(schema, f.name)) for f in searchable])
+    boost, types = S.strict_boost(query, [(F.col(c), w) for c, w in S.strict_fields(schema)])
+    # What is asked of the texts first: only its numbers are joined.
+    out = items.select(
+        "idx", phrase.alias("phrase"), (S.name_match(name_lower, query, terms) if name else F.lit(0.0)).alias("name"), (S.prefix_match(name_lower, query) if name else F.lit(False)).alias("prefix"),
+        boost.alias("strict"), types.alias("strict_types"),
+    )
+    out = out.join(S.bm25(index, terms, searchable), "idx", "left").withColumn("bm25", _zero(F.col("bm25")))
     vector = index.encoder.encode(query).tolist() if index.encoder is not None and index.vectors is not None and embeddable else None
     emb = S.dense(index, vector, embeddable) if vector is not None else None
     out = out.join(emb, "idx", "left").withColumn("emb", _zero(F.col("emb"))) if emb is not None else out.withColumn("emb", F.lit(0.0))
-    phrase = S.phrase_boost(terms, [F.col(column_of(schema, f.name)) for f in searchable])
-    boost, types = S.strict_boost(query, [(F.col(c), w) for c, w in S.strict_fields(schema)])
-    out = out.withColumn("phrase", F.when(F.col("bm25") > 0, phrase).otherwise(F.lit(0.0)))
-    out = out.withColumn("name", S.name_match(name_lower, query, terms) if name else F.lit(0.0))
-    out = out.withColumn("prefix", S.prefix_match(name_lower, query) if name else F.lit(False))
-    out = out.withColumn("strict", boost).withColumn("strict_types", types)
+    out = out.withColumn("phrase", F.when(F.col("bm25") > 0, F.col("phrase")).otherwise(F.lit(0.0)))
     first = S.exact_name(items, name_col, query) if name else index.spark.createDataFrame([(None,)], "exact_idx bigint")
     return out.crossJoin(F.broadcast(first)).withColumn("exact", F.coalesce(F.col("idx") == F.col("exact_idx"), F.lit(False))).drop("exact_idx")
 
@@ -61,7 +63,7 @@ def reranked(index: Index, best: DataFrame, query: str, terms: list[str], embedd
     """The candidates with their final ``score``, in order, cut to ``top_k``."""
     schema = index.schema
     name, desc = schema.primary(), schema.description()
-    lower = lambda f: F.lower(F.col(column_of(schema, f.name))) if f else F.lit("")
+    text = lambda f: F.col(column_of(schema, f.name)) if f else F.lit("")
     similar: list[Column] = []
     if index.vectors is not None and index.encoder is not None and embeddable:
         vector = index.encoder.encode(query).tolist()
@@ -69,7 +71,7 @@ def reranked(index: Index, best: DataFrame, query: str, terms: list[str], embedd
         pivot = rows.groupBy("idx").agg(*[F.max(F.when(F.col("field") == f.name, S.dot(F.col("vec"), vector))).alias(f"sim{i}") for i, f in enumerate(embeddable)])
         best = best.join(F.broadcast(pivot), "idx", "left")
         similar = [_zero(F.col(f"sim{i}")) for i in range(len(embeddable))]
-    with_signal = best.withColumn("signal", S.rerank_signal(lower(name), lower(desc), terms, F.size("strict_types") > 0, similar))
+    with_signal = best.withColumn("signal", S.rerank_signal(F.lower(text(name)), text(desc), terms, F.size("strict_types") > 0, similar))
     ranges = with_signal.agg(F.min("signal").alias("lo"), F.max("signal").alias("hi"))
     final = F.lit(1 - o.w_rerank) * F.col("stage1") + F.lit(o.w_rerank) * S.normalised(F.col("signal"), F.col("lo"), F.col("hi"))
     return with_signal.crossJoin(F.broadcast(ranges)).withColumn("score", final).orderBy(F.desc("score"), "idx").limit(o.top_k)

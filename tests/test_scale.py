@@ -1,9 +1,15 @@
 """What has to hold so that queries pass over large tables: work in proportion to the input, memory that doesn't follow it."""
 
+import math
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from siltwork.functions.text import term_counts, tokens
-from siltwork.operators.index import doc_lengths, document_frequency, postings, term_frequencies
+from siltwork.functions.text import ascii_lower, contains_fold, contains_lower, term_counts, tokens
+from siltwork.operators.index import doc_lengths, document_frequency, index_of, postings, term_frequencies
+from siltwork.operators.scoring import bm25, bm25_scan
+from siltwork.plans.search import signals
+from siltwork.schema import LONGTEXT, TEXT, CorpusSchema, Field
 
 ROWS = "idx bigint, field string, text string"
 
@@ -34,3 +40,38 @@ def test_term_frequencies_hold_no_postings(spark):
     got = term_frequencies(rows, True)
     assert "idx" not in plan(got).split("MapInArrow")[0]
     assert sorted(got.collect()) == sorted(document_frequency(postings(rows)).collect())
+
+
+def test_scan_reads_texts_once(spark):
+    """Counts are a table that is read as often as needed; nothing is left in the cache, no text is tokenised in the plan."""
+    items = spark.createDataFrame([(1, "the thing", "A b"), (2, None, "the the"), (3, "x", None)], "idx bigint, f0 string, f1 string")
+    got = bm25_scan(items, ["the", "thing"], [("a", F.col("f0"), 3), ("b", F.col("f1"), 1)], ["idx"])
+    both = plan(got.crossJoin(got.agg(F.max("bm25").alias("most"))))
+    assert "regexp_extract_all" not in both and "MapInArrow" not in both and "InMemoryTableScan" not in both and "parquet" in both
+    n, avg = 3, (2 + 1) / 3
+    one = lambda tf, dl, df, avg: math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))
+    want = {1: 3 * (one(1, 2, 1, avg) * 2), 2: one(2, 1, 1, 1.0), 3: 0.0}
+    assert {r.idx: round(r.bm25, 9) for r in got.collect()} == {k: round(x, 9) for k, x in want.items()}
+
+
+def test_contains_without_lowering(spark):
+    texts = ["The THING", "Kelvin", "İx", "ſ", "a.b", "ÀÉ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for sub in ("the thing", "k", "i", "s", "a.b", "à", ".", "T", ""):
+        r = df.select(F.contains(F.lower("t"), F.lit(sub)).alias("a"), contains_lower(F.col("t"), sub).alias("b"), F.coalesce(F.contains(ascii_lower(F.col("t")), F.lit(sub)), F.lit(False)).alias("c"), contains_fold(F.col("t"), sub).alias("d")).collect()
+        assert [x.a for x in r] == [x.b for x in r]
+        assert sub in ("", "T") or [x.c for x in r] == [x.d for x in r]
+
+
+def test_search_joins_numbers(spark):
+    """Texts aren't shuffled for a search's joins, and those of an index that isn't stored are read once for a query's terms."""
+    schema = CorpusSchema.of("t", [Field("name", TEXT, 3, True), Field("body", LONGTEXT, 1, True, strict=True)])
+    items = spark.createDataFrame([(i, f"p{i}", "", "", [], f"n{i}", f"the thing {i} x") for i in range(5)], "idx bigint, id string, path string, source string, tags array<string>, f0 string, f1 string")
+    ix = index_of(items, schema)
+    assert ix.texts is not None and index_of(items.union(items), schema).texts is None
+    got = signals(ix, "thing 3", ["thing", "3"], schema.searchable(), [])
+    joined = plan(got).split("Join")
+    assert len(joined) > 1 and not any(" f1#" in x.splitlines()[1] for x in plan(got).split("Exchange")[1:] if len(x.splitlines()) > 1)
+    assert [r.idx for r in got.orderBy(F.desc("bm25"), "idx").limit(1).collect()] == [3]
+    full = bm25(replace(ix, texts=None), ["thing", "3"], schema.searchable())
+    assert sorted(bm25(ix, ["thing", "3"], schema.searchable()).collect()) == sorted(full.collect())
