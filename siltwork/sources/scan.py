@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import posixpath
 import re
+import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import groupby
 
 import pyarrow as pa
 import yaml
@@ -13,8 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LONGTEXT, TAGS, TEXT, CorpusSchema, Field, SchemaError
-from .formats import READERS
+from .formats import READERS, STREAMED
 
+# Spark sends 10,000 pieces at a time.
+PIECE, BATCH = 8 << 10, 5_000
 ITEM = "source_no int, path string, row_no int, id string, source string, tags array<string>, fields map<string,string>, error string"
 
 
@@ -105,28 +111,79 @@ def glob_filter(path: Column, pattern: str) -> Column:
     return path.rlike(glob_regex(pattern))
 
 
+class _Pieces(io.RawIOBase):
+    """A file's bytes, piece by piece."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.left = pieces, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, to) -> int:
+        while not len(self.left):
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.left = memoryview(piece)
+        n = min(len(to), len(self.left))
+        to[:n] = self.left[:n]
+        self.left = self.left[n:]
+        return n
+
+
 def _parser(no: int, src: Source, source_name: str, tags: set[str]):
+    """(path, piece) of files, each file's pieces in their order, to items.
+
+    Of a format that is streamed no more than ``BATCH`` items are held: as a file that turns out to be broken has none, the
+    ones before are on disk until it has ended.
+    """
     kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string()]
-    names = ["source_no", "path", "row_no", "id", "source", "tags", "fields", "error"]
-    read = READERS[src.format]
+    schema = pa.schema(list(zip(["source_no", "path", "row_no", "id", "source", "tags", "fields", "error"], kinds)))
+    stream = STREAMED.get(src.format) or (lambda file, *rest: READERS[src.format](file.read(), *rest))
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], schema=schema)
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for rel, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        pieces = ((b.column(0)[i].as_py(), b.column(1)[i].as_py() or b"") for b in batches for i in range(b.num_rows))
+        rows: list[tuple] = []  # of files that have ended
+        for rel, own in groupby(pieces, key=lambda x: x[0]):
+            with tempfile.TemporaryFile() as spilled:
+                held: list[tuple] = []
+                writer = None
                 try:
-                    got = read(data or b"", rel, src.mapping, tags)
+                    for k, (item, fields, found) in enumerate(stream(io.BufferedReader(_Pieces(x[1] for x in own)), rel, src.mapping, tags), 1):
+                        held.append((no, rel, k, item, source_name, found, list(fields.items()), None))
+                        if len(held) >= BATCH:
+                            writer = writer or pa.ipc.new_stream(spilled, schema)
+                            writer.write_batch(batch(held))
+                            held = []
                 except Exception as e:
                     if src.on_error == "fail":
                         raise ValueError(f"{rel}: {e}") from e
                     rows.append((no, rel, 0, rel, source_name, [], [], f"{type(e).__name__}: {e}"))
-                    continue
-                rows += [(no, rel, k, item, source_name, found, list(fields.items()), None) for k, (item, fields, found) in enumerate(got, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+                else:
+                    if writer:
+                        writer.close()
+                        spilled.seek(0)
+                        yield from pa.ipc.open_stream(spilled)
+                    rows += held
+            if len(rows) >= BATCH:
+                yield batch(rows)
+                rows = []
+        if rows:
+            yield batch(rows)
 
     return run
 
 
+def in_pieces(found: DataFrame) -> DataFrame:
+    """(path, piece): the content of each file in pieces of ``PIECE`` bytes, in order; one of an empty file."""
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length("content") - 1).cast("int") / PIECE).cast("int"))).alias("k")
+    return found.select("path", "content", at).select("path", F.substring("content", F.col("k") * PIECE + 1, F.lit(PIECE)).alias("piece"))
+
+
 def files(spark: SparkSession, folder: str, include: str, streaming: bool = False) -> DataFrame:
     """(path relative to the folder, content, length, modified) of the files that match a glob; unreadable ones are left out.
 
@@ -154,7 +211,7 @@ def scan(spark: SparkSession, config: IndexConfig) -> DataFrame:
         if src.format not in READERS:
             raise SchemaError(f"sources[{no}]: unknown format {src.format}")
         found = files(spark, src.dir, src.include).select("path", "content")
-        parts.append(found.mapInArrow(_parser(no, src, config.schema.name, tags), ITEM))
+        parts.append(in_pieces(found).mapInArrow(_parser(no, src, config.schema.name, tags), ITEM))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ITEM)
 
 
@@ -174,10 +231,10 @@ _META = r"(?i)^(?:.*/)?(?:README|LICENSE(?:-[^/]*)?|CHANGELOG(?:-[^/]*)?|CONTRIB
 
 def scan_skills(spark: SparkSession, folder: str) -> DataFrame:
     """The skills corpus: files called SKILL.md."""
-    return files(spark, folder, "**/SKILL.md").select("path", "content").mapInArrow(_parser(0, Source(folder, "skill"), "skill", set()), ITEM)
+    return files(spark, folder, "**/SKILL.md").select("path", "content").transform(in_pieces).mapInArrow(_parser(0, Source(folder, "skill"), "skill", set()), ITEM)
 
 
 def scan_wiki(spark: SparkSession, folder: str) -> DataFrame:
     """The notes corpus: Markdown files but for README, LICENSE, CHANGELOG and CONTRIBUTING."""
     found = files(spark, folder, "**").where(F.col("path").rlike(r"(?i)\.md$") & ~F.col("path").rlike(_META))
-    return found.select("path", "content").mapInArrow(_parser(0, Source(folder, "wiki"), "wiki", set()), ITEM)
+    return in_pieces(found).mapInArrow(_parser(0, Source(folder, "wiki"), "wiki", set()), ITEM)

@@ -75,3 +75,23 @@ def test_search_joins_numbers(spark):
     assert [r.idx for r in got.orderBy(F.desc("bm25"), "idx").limit(1).collect()] == [3]
     full = bm25(replace(ix, texts=None), ["thing", "3"], schema.searchable())
     assert sorted(bm25(ix, ["thing", "3"], schema.searchable()).collect()) == sorted(full.collect())
+
+
+def test_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """Large files are parsed as they come in; a broken one still has no item, wherever it breaks."""
+    from siltwork.sources import scan as at
+
+    (tmp_path / "a.ndjson").write_text("".join(f'{{"t": "é{i}", "b": [{i}]}}\n\n' for i in range(12_000)), "utf-8")
+    (tmp_path / "b.ndjson").write_text('{"t": 1}\n' * 6_000 + "{")
+    (tmp_path / "c.csv").write_text("t,b\n" + "".join(f'"x\n{i}",é{i}\n\n' for i in range(12_000)), "utf-8")
+    (tmp_path / "e.csv").write_text("t,b\n" + "1,2\n" * 6_000 + '"open')
+    text = "schema:\n  name: s\n  fields: [{{name: t}}, {{name: b, searchable: true}}]\nsources:\n  - {{dir: '{d}', format: {f}, include: '*.{f}', mapping: {{t: t, b: {b}}}}}\n"
+    for kind, b, path in (("ndjson", "b.0", "a.ndjson"), ("csv", "b", "c.csv")):
+        cfg = at.parse_config(text.format(d=tmp_path, f=kind, b=b))
+        rows = at.scan(spark, cfg).collect()
+        good = {r.id: r.fields for r in rows if r.error is None}
+        want = [(f"é{i}", str(i)) if kind == "ndjson" else (f"x\n{i}", f"é{i}") for i in range(12_000)]
+        assert good == {f"{path}#{i}": {"t": t, "b": b} for i, (t, b) in enumerate(want, 1)}
+        assert sorted(r.path for r in rows if r.error) == (["b.ndjson"] if kind == "ndjson" else ["e.csv"])
+    pieces = at.in_pieces(at.files(spark, str(tmp_path), "*.csv").select("path", "content")).select(F.max(F.length("piece")), F.count("*")).first()
+    assert pieces[0] == at.PIECE and pieces[1] > 4
