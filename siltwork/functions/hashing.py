@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BUCKETS = 512
+BUCKETS, AT_ONCE = 512, 1 << 20
 
 
 def fnv64(data: bytes) -> int:
@@ -92,12 +92,25 @@ def hash_embedding(text: str) -> np.ndarray:
     return hash_embeddings([text])[0]
 
 
+def embed_all(texts: pd.Series) -> list[np.ndarray]:
+    """The vectors of texts, of which so many are hashed at once that they have ``AT_ONCE`` letters or are a single one:
+    hashing takes some 60 bytes for each."""
+    out: list[np.ndarray] = []
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        t = t if isinstance(t, str) else ""
+        if part and (size + len(t) > AT_ONCE or len(part) == 256):
+            out += list(hash_embeddings(part))
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    return out + list(hash_embeddings(part)) if part else out
+
+
 def hash_embed(text: Column) -> Column:
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        out = []
-        for lo in range(0, len(texts), 256):
-            out += list(hash_embeddings(texts.iloc[lo : lo + 256].fillna("").tolist()))
-        return pd.Series(out, dtype=object)
+        return pd.Series(embed_all(texts), dtype=object)
 
     return embed(text)

@@ -95,3 +95,18 @@ def test_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
         assert sorted(r.path for r in rows if r.error) == (["b.ndjson"] if kind == "ndjson" else ["e.csv"])
     pieces = at.in_pieces(at.files(spark, str(tmp_path), "*.csv").select("path", "content")).select(F.max(F.length("piece")), F.count("*")).first()
     assert pieces[0] == at.PIECE and pieces[1] > 4
+
+
+def test_hash_embedding_of_bounded_parts(monkeypatch):
+    """The texts that are hashed at once are bounded by their letters, not only by their number; the vectors stay the same."""
+    import numpy as np
+    import pandas as pd
+
+    from siltwork.functions import hashing as H
+
+    texts = ["ab cd " * (i * 997 % 20_000) for i in range(300)] + [None, "", "x y " * 750_000]
+    seen, plain = [], H.hash_embeddings
+    monkeypatch.setattr(H, "hash_embeddings", lambda part: seen.append(sum(map(len, part))) or plain(part))
+    got = np.stack(H.embed_all(pd.Series(texts)))
+    assert sorted(seen)[-1] == 3_000_000 and sorted(seen)[-2] <= H.AT_ONCE and len(seen) > 3
+    assert np.array_equal(got[::25], np.stack([plain([t or ""])[0] for t in texts[::25]])) and not got[300].any() and len(got) == 303
